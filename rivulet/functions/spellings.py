@@ -13,7 +13,7 @@ NO = ("false", "f", "no", "n", "0")
 
 def bare(c: Column) -> Column:
     """Without the blanks and quotes around."""
-    return F.regexp_replace(c, r"^[\s \"']+|[\s \"']+$", "")
+    return F.regexp_replace(c, r"^[\s\x{a0}\"']+|[\s\x{a0}\"']+$", "")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
