@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import distinct, percentiles, topn
+from rivulet.llm import distinct, leaks, packing, percentiles, topn
 from rivulet.shared import table
 
 GROUP = ["shipdate", "returnflag", "linestatus", "shipmode"]
+CAPACITY = 2048  # tokens
 SHARES = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
 
 
@@ -60,7 +61,36 @@ def p7_merged_loads(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.percentiles(percentiles.merged(states, group), group, SHARES)
 
 
-QUERIES = {f.__name__: f for f in (p2_distinct_by_day, p2_distinct_merged, p5_found, p7_percentiles, p7_merged_loads)}
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", packing.token_count(F.col("text")).alias("n_tokens"))
+    return packing.pack(docs, CAPACITY)
+
+
+def p8_pack_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every text in containers of CAPACITY tokens."""
+    return _packed(spark, d)
+
+
+def p8_container_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers by how full they are, in percent."""
+    fills = _packed(spark, d).groupBy("container").agg(F.sum("n_tokens").alias("fill"), F.count("*").alias("pieces"))
+    return fills.groupBy(F.floor(F.col("fill") * 100 / CAPACITY).alias("percent")).agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.sum("fill").alias("n_tokens"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_passages(spark: SparkSession, d: str) -> DataFrame:
+    """The longest leaked passage of each item in each document, with its place."""
+    return leaks.passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_removals(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.removals(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p2_distinct_by_day, p2_distinct_merged, p5_found, p7_percentiles, p7_merged_loads, p8_pack_documents, p8_container_fill, p9_found, p9_passages, p9_removals)}
 
 _P7 = (
     "with v as (select returnflag, linestatus, extendedprice + 0.0 as value, row_number() over (partition by returnflag, linestatus order by extendedprice) as rn, count(*) over (partition by returnflag, linestatus) as n "
