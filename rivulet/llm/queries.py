@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm import distinct, leaks, packing, percentiles, topn
+from rivulet.llm import sentences as sentence_split
 from rivulet.shared import table
 
 GROUP = ["shipdate", "returnflag", "linestatus", "shipmode"]
@@ -96,7 +97,16 @@ def p9_removals(spark: SparkSession, d: str) -> DataFrame:
     return leaks.removals(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p2_distinct_by_day, p2_distinct_merged, p5_found, p7_percentiles_by_day, p7_percentiles, p7_merged_loads, p8_pack_documents, p8_container_fill, p9_found, p9_passages, p9_removals)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentence_split.sentence_units(table(spark, d, "documents"))
+
+
+def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The units with their text."""
+    return sentence_split.sentences(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_distinct_by_day, p2_distinct_merged, p5_found, p7_percentiles_by_day, p7_percentiles, p7_merged_loads, p8_pack_documents, p8_container_fill, p9_found, p9_passages, p9_removals, p10_found, p10_sentences)}
 
 _P7 = (
     "with v as (select GROUP, extendedprice + 0.0 as value, row_number() over (partition by GROUP order by extendedprice) as rn, count(*) over (partition by GROUP) as n "

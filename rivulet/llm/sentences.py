@@ -29,7 +29,8 @@ MASK, CUT = "", ""
 BLANKS = " \t\r\n\x0b\x0c\x85\xa0            ​    　﻿"
 GAP = r"[ \t\x{a0}\x{202f}]"
 MARKS = r".!?…。！？｡؟।॥۔‼⁇⁈⁉։።။។།"
-LETTER_OR_DIGIT = r"[\p{L}\p{M}\p{N}]"
+#: What an abbreviation or initial can't follow directly; it can follow a character of a script without spaces.
+INSIDE = r"[[\p{L}\p{M}\p{N}]&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]"
 
 #: Abbreviations that never end a sentence.
 TITLES = (
@@ -43,7 +44,7 @@ TITLES = (
 #: Abbreviations that end no sentence before a number.
 BEFORE_NUMBER = (
     "No Nos no nos Fig Figs fig p P pp S Sec sec Ch ch Vol vol Art art Eq eq Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec "
-    "Nr Abb Abschn Kap Bd Abs Tab Str str pág págs Pág núm Núm cap s с д кв корп т п ст N"
+    "Nr Abb Abschn Kap Bd Abs Tab Str str pág págs Pág núm Núm p�g n�m cap h ft lb s с д кв корп т п ст N"
 ).split()
 MONTHS = "Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jh|Jahrhunderts?"
 ARTICLES = "der|die|das|dem|den|des|am|im|vom|zum|zur|beim|seit|jeder|jede|jedes|dieser|diesem|ins|einem|einer"
@@ -58,55 +59,50 @@ SPEECH = (
     rf"|{GAP}+\p{{Lu}}\p{{L}}+{GAP}(?:said|asked|shouted|replied|cried|answered|whispered|wrote|called)(?!\p{{L}})"
 )
 GOES_ON = rf"[,;:،、，；：؛{MARKS}]|{GAP}*+[—–-]|{GAP}*+\p{{Ll}}(?!\p{{Lu}})|{SPEECH}"
-CLOSE = r"(?:[ \x{a0}\x{202f}]?[»›]|[”’)）\]］」』】》〉＂]|[“\"'](?!\p{L})|�(?![\p{L}\p{N}]))"
+CLOSE = r"(?:[ \x{a0}\x{202f}]?[»›]|[”’)）\]］」』】》〉＂]|[“\"'](?!\p{L})|�(?![\p{L}\p{N}])| �(?= \p{Ll}))"
 
 
 def _words(words: list[str]) -> str:
     return "|".join(sorted(words, key=lambda w: (-len(w), w)))
 
 
-def _quoted(open_: str, close: str) -> tuple[str, str]:
-    """Marks within a quotation that is part of a longer sentence, but for those right before its end."""
-    return rf"[{MARKS}](?=[^{open_}{close}\n]++{close}(?:{GOES_ON}))", MASK
-
-
-#: (needed for it to matter, pattern, replacement), in this order.
-MASKS: list[tuple[str | None, str, str]] = [
-    # a Greek question mark
-    ("[;;]", r"(?<=[\x{370}-\x{3ff}\x{1f00}-\x{1fff}][»”\"’)]?);|\x{37e}", "?"),
+#: Full stops that end nothing. The stop comes first in the pattern and what precedes it is looked up from there, so all other characters are passed over quickly.
+STOPS = (
+    # numbers; names of files, hosts and versions; a hyphen after an initial
+    r"(?<=\p{N}\.)(?=\p{N})|(?<![\p{L}\p{N}.]\.)(?=\p{N})|(?<=[\p{L}\p{N}_-]\.)(?=\p{Ll}(?!\p{Lu}{2})|\p{N}|_)|(?=-\p{L})",
     # list numbers belong to their sentence
-    (r"\.", rf"(?m)^({GAP}*+[(\[]?(?:\p{{N}}{{1,3}}|\p{{L}}))[.．](?={GAP})", f"$1{MASK}"),
-    # numbers, and names of files, hosts and versions
-    (r"\.", r"(?<=\p{N})\.(?=\p{N})|(?<![\p{L}\p{N}.])\.(?=\p{N})|(?<=[\p{L}\p{N}_-])\.(?=\p{Ll}(?!\p{Lu}{2})|\p{N}|_)|\.(?=-\p{L})|(?<=[\p{Ll}\p{N}/])[?!](?=[\p{Ll}\p{N}]+[=&])", MASK),
+    rf"(?<=(?:^|[\r\n]){GAP}{{0,8}}[(\[]?(?:\p{{N}}{{1,3}}|\p{{L}})\.)(?={GAP})",
     # dates and ordinals
-    (r"\p{N}\.", rf"(?<!\p{{N}})(\p{{N}}{{1,2}})\.(?={GAP}\p{{N}}{{1,2}}\.{GAP}\p{{N}}|{GAP}(?:{MONTHS})(?!\p{{L}}))", f"$1{MASK}"),
-    (r"\p{N}\.", rf"(?<=\x{{e000}}{GAP}\p{{N}}{{1,2}})\.(?={GAP}\p{{N}}{{4}})", MASK),
-    (r"\p{N}\.", rf"(?i)(?<!\p{{L}})((?:{ARTICLES}){GAP}\p{{N}}{{1,3}})\.(?={GAP}\p{{L}})", f"$1{MASK}"),
+    rf"(?<=(?<!\p{{N}})\p{{N}}{{1,2}}\.)(?={GAP}\p{{N}}{{1,2}}\.{GAP}?\p{{N}}|{GAP}(?:{MONTHS})(?!\p{{L}}))",
+    rf"(?={GAP}\p{{N}}{{4}})(?<=(?<!\p{{N}})\p{{N}}{{1,2}}\.{GAP}\p{{N}}{{1,2}}\.)",
+    rf"(?={GAP}\p{{L}})(?<=(?<!\p{{L}})(?i:{ARTICLES}){GAP}\p{{N}}{{1,3}}\.)",
     # abbreviations
-    (r"\.", rf"(?<!{LETTER_OR_DIGIT})(?=[\p{{L}}\p{{M}}]{{1,7}}\.)({_words(TITLES)})\.", f"$1{MASK}"),
-    (r"\.", rf"(?<!{LETTER_OR_DIGIT})(?=[\p{{L}}\p{{M}}]{{1,7}}\.{GAP}*\p{{N}})({_words(BEFORE_NUMBER)})\.", f"$1{MASK}"),
-    (r"str\.", rf"(?<=\p{{L}}str)\.(?={GAP}\p{{N}})", MASK),
+    rf"(?<=(?<!{INSIDE})(?:{_words(TITLES)})\.)",
+    rf"(?={GAP}*+\p{{N}})(?:(?<=(?<!{INSIDE})(?:{_words(BEFORE_NUMBER)})\.)|(?<=\p{{L}}str\.))",
     # initials, also of letters without case, and abbreviations of several letters
-    (r"\.", r"(?<![\p{L}\p{M}\p{N}])(?<!π\.)(?<!μ\.)([\p{Lu}\p{IsArabic}&&\p{L}])\.", f"$1{MASK}"),
-    (r"\.", rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(\p{{Ll}})\.(?={GAP}?\p{{L}}[.\x{{e000}}])", f"$1{MASK}"),
-    (r"[mM]\.", rf"(?<=[.\x{{e000}}]{GAP}?[mM])\.(?={GAP}(?:{WEEKDAYS})(?!\p{{L}}))", MASK),
+    rf"(?<=(?<!{INSIDE})(?:\p{{Lu}}|[\p{{IsArabic}}&&\p{{L}}]|[\p{{IsDevanagari}}&&\p{{L}}]\p{{M}}{{0,2}})\.)(?<![πμ]\.Χ\.)(?=\S|{GAP})",
+    rf"(?={GAP}?\p{{L}}\.)(?<=(?<!{INSIDE})\p{{Ll}}\.)",
+    rf"(?={GAP}(?:{WEEKDAYS})(?!\p{{L}}))(?<=\.{GAP}?[mM]\.)",
+)
+
+#: (needed for it to matter, pattern, replacement), in this order.
+MASKS: list[tuple[str | None, str, str]] = [
+    # a Greek question mark
+    ("[;;]", r"[;\x{37e}](?:(?<=[\x{370}-\x{3ff}\x{1f00}-\x{1fff}][»”\"’)]?;)|(?<=\x{37e}))", "?"),
+    (None, rf"\.(?:{'|'.join(STOPS)})|[?!](?=[\p{{Ll}}\p{{N}}]{{1,40}}[=&])", MASK),
     # an ellipsis between two clauses of a Chinese sentence; in Japanese after a word that can't end one
     *[
         (mark, pattern.replace("MARK", mark), MASK * len(mark))
         for mark in ("……", "…")
         for pattern in (
-            r"(?<=(?:^|[。！？\n”」』）])\p{IsHan}{1,40})MARK(?=\p{IsHan}[^，、。！？\n…]{0,40}(?:[。！？\n]|$))",
-            r"(?<=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}])(?<=[\p{IsHiragana}\p{IsKatakana}][^\n。！？]{0,3})(?<![すただいうくつむぬるん…])MARK(?=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}])",
+            r"MARK(?=\p{IsHan}[^，、。！？\n…]{0,40}(?:[。！？\n]|$))(?<=(?:^|[。！？\n”」』）])\p{IsHan}{1,40}MARK)",
+            r"MARK(?=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}])(?<=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]MARK)(?<=[\p{IsHiragana}\p{IsKatakana}][^\n。！？]{0,3}MARK)(?<![すただいうくつむぬるん…]MARK)",
         )
     ],
     # a remark in brackets within a sentence
-    ("[。！？]）", r"(?<=[^\s。！？!?.…」』）”])（([^（）\n。！？]*+)[。！？]）", f"（$1{MASK}）"),
-    # quotations that are part of a longer sentence
-    ("”", *_quoted("“", "”")),
-    ("“", *_quoted("„", "“")),
-    ("»", rf"[{MARKS}](?=[^«»\n]++»(?:{GOES_ON}))", MASK),
-    ("」", *_quoted("「", "」")),
-    ("』", *_quoted("『", "』")),
+    ("[。！？]）", r"（(?<=[^\s。！？!?.…」』）”]（)([^（）\n。！？]*+)[。！？]）", f"（$1{MASK}）"),
+    # quotations that are part of a longer sentence; a mark right before their end is judged with what follows
+    ("[”“»」』]", rf"[{MARKS}](?=[^“”„«»「」『』\n]++(?:[”»」』]|“(?!\p{{L}}))(?:{GOES_ON}))", MASK),
 ]
 
 
@@ -188,11 +184,21 @@ def meant(text: Column) -> Column:
     return F.when(text.rlike(GARBLED), _let(F.translate(text, "".join(CP1252), "".join(CP1252.values())), decoded))
 
 
+def _one_byte(encoding: str) -> str:
+    return "".join(bytes([b]).decode(encoding, "replace") for b in range(0x80, 0x100))
+
+
+def recased(text: Column) -> Column:
+    """Windows-1251 that was read as KOI8-R (words of a small letter and capitals) as it was meant; of the same length."""
+    pairs = [(a, b) for a, b in zip(_one_byte("koi8-r"), _one_byte("cp1251")) if "�" not in (a, b)]
+    return F.when(text.rlike(r"(?s)(?<!\p{L})[а-яё][А-Я]{3}.*?(?<!\p{L})[а-яё][А-Я]{3}"), F.translate(text, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))).otherwise(text)
+
+
 def sentence_units(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keep.., start_pos, end_pos): one row for each unit."""
     whole = documents.select(*keep, F.col(text).alias("t")).where("t is not null and t <> ''").select(*keep, "t", meant(F.col("t")).alias("m"))
     bytes_before = lambda m, n: F.octet_length(F.substring(m, F.lit(1), n)).cast("int")
-    plain = spans(F.col("t"))
+    plain = spans(recased(F.col("t")))
     repaired = F.transform(spans(F.col("m")), lambda u: F.struct(bytes_before(F.col("m"), u["start_pos"]).alias("start_pos"), bytes_before(F.col("m"), u["end_pos"]).alias("end_pos")))
     return whole.select(*keep, F.inline(F.when(F.col("m").isNull(), plain).otherwise(repaired)))
 
