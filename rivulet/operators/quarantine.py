@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.functions.spellings import catalogue, hash_text, value_text
+from rivulet.shared import staged
 
 TEXT, KEY, NUMBER, DATE = "string", "bigint", "double", "date"
 FEEDS = {
@@ -115,4 +116,5 @@ def rejected(raw: DataFrame, attribute_types: DataFrame) -> DataFrame:
         reason = reason.when((F.col("feed") == feed) & ~_counted(feed), "column_count")
     for feed in FEEDS:
         reason = reason.when((F.col("feed") == feed) & ~_valued(feed, types), "bad_value")
-    return _cut(rest).select("rec_id", reason.alias("reason"), "feed", "line")
+    # written apart: else the diagnosis would be pushed below the anti-join and run over the loaded rows too
+    return _cut(staged(rest, "remainder")).select("rec_id", reason.alias("reason"), "feed", "line")
