@@ -6,10 +6,14 @@ the next satellite row, computed in a view. Satellites are kept apart by change
 rate: the table is partitioned by attribute and each satellite is a set of its
 partitions, so fast ones don't rewrite or slow down the slow ones.
 
-An entity may hold a large share of all rows, so no window runs over a whole
-entity: time is cut into slices of about equal row counts, each window covers
-one entity, attribute and slice, and what crosses a slice's edge is carried by
-one summary row per slice.
+An entity may hold a large share of all rows. The time of those that hold more
+than a hundredth (a hundred at most, whatever the data) is cut into slices of
+about equal row counts; a window covers one entity, attribute and slice, and
+what crosses a slice's edge is carried by one summary row per slice. All other
+entities are one slice.
+
+The hash-diff is 64 bits wide; only neighbouring states of one attribute are
+ever compared by it.
 
 Nulls: rows without entity or moment are ignored, a null value is no value.
 Rows received twice and the same value stated again change nothing; of several
@@ -29,30 +33,45 @@ from rivulet.shared import staged
 KEY = ("c1", "attr_id")
 
 
-def slice_bounds(rows: DataFrame, at: str = "c0", slices: int = 16) -> list[int]:
-    """Moments that cut the rows into slices of about equal size; the number of slices is fixed, the data are not collected."""
-    cuts = rows.agg(F.percentile_approx(at, [k / slices for k in range(1, slices)], 1000)).first()[0]
-    return sorted(set(cuts or []))
+HOT = 100  # entities of more than 1/HOT of all rows are sliced
+
+
+class Slices:
+    """The hot entities, at most HOT, and the moments that cut their rows into slices of about equal size."""
 
+    def __init__(self, rows: DataFrame, number: int = 16):
+        total = rows.count()
+        self.hot = [r[0] for r in rows.where("c1 is not null").groupBy("c1").count().where(F.col("count") * HOT > total).select("c1").collect()]
+        cuts = rows.where(F.col("c1").isin(self.hot)).agg(F.percentile_approx("c0", [k / number for k in range(1, number)], 1000)).first()[0] if self.hot else None
+        self.bounds = sorted(set(cuts or []))
 
-def _slice(at: Column, bounds: list[int]) -> Column:
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < at)) if bounds else F.lit(0)
+    def of(self, at: Column) -> Column:
+        if not self.bounds:
+            return F.lit(0)
+        return F.when(F.col("c1").isin(self.hot), F.size(F.filter(F.array(*[F.lit(b) for b in self.bounds]), lambda b: b < at))).otherwise(0)
+
+    def only(self, df: DataFrame) -> DataFrame:
+        """The rows of hot entities."""
+        return df.where(F.col("c1").isin(self.hot)) if self.bounds else df.where("false")
 
 
 def changes(rows: DataFrame, attribute_types: DataFrame, slices: int = 16) -> DataFrame:
     """Satellite rows (c1, valid_from, slice, val, hash_diff, attr_id): one for each change of an attribute, hash_diff null for a deletion."""
-    bounds = slice_bounds(rows, slices=slices)
-    states = (
-        statements(rows, catalogue(attribute_types))
-        .where("attr_id is not null")
-        .groupBy(*KEY, "c0")
-        .agg(F.max(F.struct("arrival", "deleted", "val")).alias("s"))
-        .select(*KEY, "c0", F.when(~F.col("s.deleted"), F.col("s.val")).alias("val"), _slice(F.col("c0"), bounds).alias("slice"))
-        .withColumn("hash_diff", F.sha2("val", 256))
-    )
+    cut = Slices(rows, slices)
+
+    def states(log: DataFrame) -> DataFrame:
+        return (
+            statements(log, catalogue(attribute_types))
+            .where("attr_id is not null")
+            .groupBy(*KEY, "c0")
+            .agg(F.max(F.struct("arrival", "deleted", "val")).alias("s"))
+            .select(*KEY, "c0", F.when(~F.col("s.deleted"), F.col("s.val")).alias("val"), cut.of(F.col("c0")).alias("slice"))
+            .withColumn("hash_diff", F.when(F.col("val").isNotNull(), F.xxhash64("val")))
+        )
+
     within = W.partitionBy(*KEY, "slice").orderBy("c0")
-    inside = states.select("*", F.lag("hash_diff").over(within).alias("before"), F.row_number().over(within).alias("rn"))
-    ends = states.groupBy(*KEY, "slice").agg(F.max(F.struct("c0", "hash_diff")).alias("end"))
+    inside = states(rows).select("*", F.lag("hash_diff").over(within).alias("before"), F.row_number().over(within).alias("rn"))
+    ends = states(cut.only(rows)).groupBy(*KEY, "slice").agg(F.max(F.struct("c0", "hash_diff")).alias("end"))
     carried = ends.select(*KEY, "slice", F.lag("end.hash_diff").over(W.partitionBy(*KEY).orderBy("slice")).alias("carried")).where("carried is not null")
     before = F.when(F.col("rn") == 1, F.col("carried")).otherwise(F.col("before"))
     return inside.join(carried, [*KEY, "slice"], "left").where(~F.col("hash_diff").eqNullSafe(before)).select("c1", F.col("c0").alias("valid_from"), "slice", "val", "hash_diff", "attr_id")
@@ -70,7 +89,7 @@ def versions(satellite: DataFrame) -> DataFrame:
     """The view (c1, attr_id, val, valid_from, valid_to): valid_to is the next row's valid_from, -1 if there is none; deletions have no row."""
     within = W.partitionBy(*KEY, "slice").orderBy("valid_from")
     inside = satellite.select("*", F.lead("valid_from").over(within).alias("next"))
-    starts = satellite.groupBy(*KEY, "slice").agg(F.min("valid_from").alias("start"))
+    starts = satellite.join(satellite.where("slice > 0").select("c1").distinct(), "c1", "left_semi").groupBy(*KEY, "slice").agg(F.min("valid_from").alias("start"))
     carried = starts.select(*KEY, "slice", F.lead("start").over(W.partitionBy(*KEY).orderBy("slice")).alias("carried")).where("carried is not null")
     return (
         inside.where("hash_diff is not null")
@@ -93,7 +112,7 @@ def appended(satellite: DataFrame, batch: DataFrame, attribute_types: DataFrame)
         statements(batch, catalogue(attribute_types)).where("attr_id is not null").groupBy(*KEY).agg(F.min(F.struct("c0", F.negate("arrival").alias("a"), "deleted")).alias("o"))
         .where("o.deleted").select(*KEY, F.col("o.c0").alias("valid_from"))
     )
-    gone = opening.join(last.where("held is not null"), list(KEY), "left_semi").select("c1", "valid_from", F.lit(0).alias("slice"), F.lit(None).cast("string").alias("val"), F.lit(None).cast("string").alias("hash_diff"), "attr_id")
+    gone = opening.join(last.where("held is not null"), list(KEY), "left_semi").select("c1", "valid_from", F.lit(0).alias("slice"), F.lit(None).cast("string").alias("val"), F.lit(None).cast("bigint").alias("hash_diff"), "attr_id")
     first = W.partitionBy(*KEY).orderBy("valid_from")
     fresh = new.withColumn("rn", F.row_number().over(first)).join(last, list(KEY), "left").join(opening.select(*KEY, F.lit(True).alias("reopened")), list(KEY), "left")
     return fresh.where((F.col("rn") > 1) | F.col("reopened").isNotNull() | ~F.col("hash_diff").eqNullSafe(F.col("held"))).select("c1", "valid_from", "slice", "val", "hash_diff", "attr_id").unionByName(gone)
