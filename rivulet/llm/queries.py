@@ -43,10 +43,11 @@ def p2_distinct_merged(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     customers = topn.latest(table(spark, d, "tpch_customer"), "custkey", "nationkey", "acctbal")
     orders = topn.latest(table(spark, d, "tpch_orders"), "orderkey", "custkey", "totalprice")
-    scored = customers.select(F.lit("nation").alias("grp_kind"), F.col("nationkey").alias("grp"), topn.amount(F.col("acctbal")).alias("score"), F.col("custkey").alias("item"), F.lit(10).alias("n")).unionByName(
-        orders.select(F.lit("customer").alias("grp_kind"), F.col("custkey").alias("grp"), (F.col("totalprice") + F.lit(0.0)).alias("score"), F.col("orderkey").alias("item"), F.lit(3).alias("n"))
+    scored = customers.select(F.lit("nation").alias("grp_kind"), F.col("nationkey").alias("grp"), topn.amount(F.col("acctbal")).alias("score"), F.col("custkey").alias("item")).unionByName(
+        orders.select(F.lit("customer").alias("grp_kind"), F.col("custkey").alias("grp"), (F.col("totalprice") + F.lit(0.0)).alias("score"), F.col("orderkey").alias("item"))
     )
-    return topn.top_n(scored.where("grp is not null and not isnan(score)"), ["grp_kind", "grp"], "score", "item", "n").select("grp_kind", "grp", "rnk", "item")
+    n = F.when(F.col("grp_kind") == "nation", 10).otherwise(3)
+    return topn.top_n(scored.where("grp is not null and not isnan(score)"), ["grp_kind", "grp"], "score", "item", n, most=10).select("grp_kind", "grp", "rnk", "item")
 
 
 def p7_percentiles_by_day(spark: SparkSession, d: str) -> DataFrame:

@@ -35,8 +35,7 @@ def latest(df: DataFrame, key: str, *values: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct("loaded_at", *values)).alias("s")).select(key, *[F.col(f"s.{v}").alias(v) for v in values])
 
 
-def top_n(df: DataFrame, group: list[str], score: str, item: str, n: str) -> DataFrame:
-    """(group.., rnk, item) of the items placed up to the column n; n must be the same for all rows of a group and a bigint."""
-    most = df.agg(F.max(n)).first()[0] or 0
-    rows, offsets = positions(df.where(F.col(score).isNotNull() & F.col(item).isNotNull()), group, [F.col(score).desc(), F.col(item).asc()], keep=int(most))
-    return placed(rows, offsets, group).where(F.col("place") <= F.col(n)).select(*group, F.col("place").cast("int").alias("rnk"), F.col(item).alias("item"))
+def top_n(df: DataFrame, group: list[str], score: str, item: str, n: Column, most: int) -> DataFrame:
+    """(group.., rnk, item) of the items placed up to n, the same for all rows of a group and no more than ``most``."""
+    rows, offsets = positions(df.where(F.col(score).isNotNull() & F.col(item).isNotNull()), group, [F.col(score).desc(), F.col(item).asc()], keep=most)
+    return placed(rows, offsets, group).where(F.col("place") <= n).select(*group, F.col("place").cast("int").alias("rnk"), F.col(item).alias("item"))
