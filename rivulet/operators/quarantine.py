@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.functions.spellings import catalogue, hash_text, value_text
+from rivulet.functions.spellings import catalogue, hash_text, let, value_text
 from rivulet.shared import staged
 
 TEXT, KEY, NUMBER, DATE = "string", "bigint", "double", "date"
@@ -39,31 +39,36 @@ def _delimiter() -> Column:
 
 def _cut(raw: DataFrame) -> DataFrame:
     """Adds d (digest), quoted (whether the quoting is right) and f (the fields, unquoted; null if the quoting is wrong)."""
-    line, d = F.coalesce(F.col("line"), F.lit("")), F.col("delim")
-    pieces = F.col("pieces")
-    last = F.size(pieces) - 1
+    line, delim = F.coalesce(F.col("line"), F.lit("")), F.col("delim")
 
-    def wrong(x: Column, i: Column) -> Column:
-        starts = (i == 0) | F.startswith(x, d) | ((x == "") & (i > 0))
-        ends = (i == last) | F.endswith(x, d) | (x == "")
-        return (i % 2 == 0) & ~(starts & ends)
+    def well_quoted(pieces: Column) -> Column:
+        last = F.size(pieces) - 1
 
-    # inside pieces hold back their delimiters while the line is split
-    masked = F.array_join(
-        F.transform(pieces, lambda x, i: F.when(i % 2 == 1, F.replace(F.replace(x, F.lit(HOLD), F.lit(HOLD + "0")), d, F.lit(HOLD + "1"))).otherwise(F.replace(x, F.lit(HOLD), F.lit(HOLD + "0")))), '"'
-    )
+        def wrong(x: Column, i: Column) -> Column:
+            starts = (i == 0) | (x == "") | F.startswith(x, delim)
+            ends = (i == last) | (x == "") | F.endswith(x, delim)
+            return (i % 2 == 0) & ~(starts & ends)
+
+        return (F.size(pieces) % 2 == 1) & ~F.exists(F.transform(pieces, wrong), lambda w: w)
+
+    def masked(x: Column, i: Column) -> Column:
+        """Inside pieces hold back their delimiters while the line is split."""
+        safe = F.replace(x, F.lit(HOLD), F.lit(HOLD + "0"))
+        return F.when(i % 2 == 1, F.replace(safe, delim, F.lit(HOLD + "1"))).otherwise(safe)
 
     def plain(x: Column) -> Column:
         inner = F.when(F.startswith(x, F.lit('"')), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
-        return F.replace(F.replace(inner, F.lit(HOLD + "1"), F.col("delim")), F.lit(HOLD + "0"), F.lit(HOLD))
-
-    return (
-        raw.select("rec_id", "feed", line.alias("line"), F.sha2(line, 256).alias("d"), _delimiter().alias("delim"))
-        .withColumn("pieces", F.split("line", '"'))
-        .withColumn("quoted", (F.size("pieces") % 2 == 1) & ~F.exists(F.sequence(F.lit(0), last), lambda i: wrong(F.get(pieces, i), i)))
-        .withColumn("f", F.when(F.col("quoted"), F.transform(F.when(F.col("delim") == ",", F.split(masked, ",")).otherwise(F.split(masked, r"\|")), plain)))
-        .drop("pieces")
-    )
+        return F.replace(F.replace(inner, F.lit(HOLD + "1"), delim), F.lit(HOLD + "0"), F.lit(HOLD))
+
+    def fields(pieces: Column) -> Column:
+        whole = F.array_join(F.transform(pieces, masked), '"')
+        return F.transform(F.when(delim == ",", F.split(whole, ",")).otherwise(F.split(whole, r"\|")), plain)
+
+    # let keeps the pieces from being cut anew for every piece; inline keeps the fields from being cut anew for every test of them
+    def judged(pieces: Column) -> Column:
+        return let(F.struct(well_quoted(pieces).alias("quoted"), pieces.alias("pieces")), lambda s: F.struct(s["quoted"].alias("quoted"), F.when(s["quoted"], fields(s["pieces"])).alias("f")))
+
+    return raw.select("rec_id", "feed", line.alias("line"), F.sha2(line, 256).alias("d"), _delimiter().alias("delim")).select("*", F.inline(F.array(let(F.split("line", '"'), judged))))
 
 
 def _counted(feed: str) -> Column:
