@@ -95,7 +95,7 @@ MASKS: list[tuple[str | None, str, str]] = [
         (mark, pattern.replace("MARK", mark), MASK * len(mark))
         for mark in ("……", "…")
         for pattern in (
-            r"MARK(?=\p{IsHan}[^，、。！？\n…]{0,40}(?:[。！？\n]|$))(?<=(?:^|[。！？\n”」』）])\p{IsHan}{1,40}MARK)",
+            r"MARK(?=\p{IsHan}[^，、。！？\n…]{0,40}(?:[。！？\n]|$))(?<=(?:^|[。！？\n”」』）])[ 　]{0,2}\p{IsHan}{1,40}MARK)",
             r"MARK(?=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}])(?<=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]MARK)(?<=[\p{IsHiragana}\p{IsKatakana}][^\n。！？]{0,3}MARK)(?<![すただいうくつむぬるん…]MARK)",
         )
     ],
