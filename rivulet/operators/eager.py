@@ -46,4 +46,5 @@ def heavy_keys(fields: Sequence[tuple[str, str, DataFrame]], share: int = 20) ->
         one = compact(df, {"tab": F.lit(tab), "field": F.lit(field)}, {"heavy_key": F.col(field).cast("string")}, n="ln")
         states = one if states is None else states.unionByName(one)
     totals = states.groupBy("tab", "field").agg(F.sum("ln").alias("rn"))
-    return states.where("heavy_key is not null").join(totals, ["tab", "field"]).where(F.col("ln") * share >= F.col("rn")).select("tab", "field", "heavy_key")
+    # one row for each field given: small by construction, and joining on so few keys would gather each field in one task
+    return states.where("heavy_key is not null").join(F.broadcast(totals), ["tab", "field"]).where(F.col("ln") * share >= F.col("rn")).select("tab", "field", "heavy_key")
