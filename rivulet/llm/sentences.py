@@ -29,6 +29,10 @@ MASK, CUT = "", ""
 BLANKS = " \t\r\n\x0b\x0c\x85\xa0            ​    　﻿"
 GAP = r"[ \t\x{a0}\x{202f}]"
 MARKS = r".!?…。！？｡؟।॥۔‼⁇⁈⁉։።။។།"
+#: One of them; the range that comes first turns letters of European scripts away at once.
+MARK = rf"[[.!?\x{{589}}-\x{{ff61}}]&&[{MARKS}]]"
+#: No quotation mark (“ to „, 「 to 』, « and ») and no line break.
+UNQUOTED = r"[^\n«»\x{201c}-\x{201e}\x{300c}-\x{300f}]"
 #: What an abbreviation or initial can't follow directly; it can follow a character of a script without spaces.
 INSIDE = r"[[\p{L}\p{M}\p{N}]&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]"
 
@@ -59,6 +63,7 @@ SPEECH = (
     rf"|{GAP}+\p{{Lu}}\p{{L}}+{GAP}(?:said|asked|shouted|replied|cried|answered|whispered|wrote|called)(?!\p{{L}})"
 )
 GOES_ON = rf"[,;:،、，；：؛{MARKS}]|{GAP}*+[—–-]|{GAP}*+\p{{Ll}}(?!\p{{Lu}})|{SPEECH}"
+QUOTE_GOES_ON = rf"(?:[”»」』]|“(?!\p{{L}}))(?:{GOES_ON})"
 CLOSE = r"(?:[ \x{a0}\x{202f}]?[»›]|[”’)）\]］」』】》〉＂]|[“\"'](?!\p{L})|�(?![\p{L}\p{N}])| �(?= \p{Ll}))"
 
 
@@ -102,7 +107,7 @@ MASKS: list[tuple[str | None, str, str]] = [
     # a remark in brackets within a sentence
     ("[。！？]）", r"（(?<=[^\s。！？!?.…」』）”]（)([^（）\n。！？]*+)[。！？]）", f"（$1{MASK}）"),
     # quotations that are part of a longer sentence; a mark right before their end is judged with what follows
-    ("[”“»」』]", rf"[{MARKS}](?=[^“”„«»「」『』\n]++(?:[”»」』]|“(?!\p{{L}}))(?:{GOES_ON}))", MASK),
+    (QUOTE_GOES_ON, rf"{MARK}(?={UNQUOTED}++{QUOTE_GOES_ON})", MASK),
 ]
 
 
@@ -121,7 +126,7 @@ def _where(t: Column, need: str | None, pattern: str, replacement: str) -> Colum
 
 
 ENDS = (
-    rf"[{MARKS}]++(?:{CLOSE}++(?!{GOES_ON})"
+    rf"{MARK}++(?:{CLOSE}++(?!{GOES_ON})"
     rf"|(?!{CLOSE})(?![,;:،、，；：؛/@_\\&=%#~]|[-–]\p{{L}})"
     # after a full stop or an ellipsis the sentence may run on
     rf"(?:(?<=[!?。！？｡؟।॥۔‼⁇⁈⁉։።។။།])(?!(?<=\?)[\p{{Ll}}\p{{N}}])|(?<=[.…])(?!{GAP}*+\p{{Ll}}(?!\p{{Lu}}))(?!(?<=\.)[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}])))"
