@@ -2,7 +2,7 @@
 
 A row is loaded only if it conforms; the loaded records' offsets are subtracted
 from the raw ones by an anti-join, and only the remainder is diagnosed. A record
-is known by its rec_id and the digest of its line (both compared null-safe), so
+is known by its rec_id (compared null-safe) and a 64-bit digest of its line, so
 a repeated or null rec_id loses nothing.
 
 Quoting is judged by cutting the line at the double quotes: outside pieces have
@@ -68,7 +68,7 @@ def _cut(raw: DataFrame) -> DataFrame:
     def judged(pieces: Column) -> Column:
         return let(F.struct(well_quoted(pieces).alias("quoted"), pieces.alias("pieces")), lambda s: F.struct(s["quoted"].alias("quoted"), F.when(s["quoted"], fields(s["pieces"])).alias("f")))
 
-    return raw.select("rec_id", "feed", line.alias("line"), F.sha2(line, 256).alias("d"), _delimiter().alias("delim")).select("*", F.inline(F.array(let(F.split("line", '"'), judged))))
+    return raw.select("rec_id", "feed", line.alias("line"), F.xxhash64(line).alias("d"), _delimiter().alias("delim")).select("*", F.inline(F.array(let(F.split("line", '"'), judged))))
 
 
 def _counted(feed: str) -> Column:
@@ -114,7 +114,7 @@ def rejected(raw: DataFrame, attribute_types: DataFrame) -> DataFrame:
     for feed in FEEDS:
         part = load(raw, feed, attribute_types).select("rec_id", "d")
         loaded = part if loaded is None else loaded.unionByName(part)
-    offsets = raw.select("rec_id", "feed", "line", F.sha2(F.coalesce("line", F.lit("")), 256).alias("d")).alias("r")
+    offsets = raw.select("rec_id", "feed", "line", F.xxhash64(F.coalesce("line", F.lit(""))).alias("d")).alias("r")
     rest = offsets.join(loaded.alias("l"), F.col("r.rec_id").eqNullSafe(F.col("l.rec_id")) & (F.col("r.d") == F.col("l.d")), "left_anti")
     reason = F.when(~F.coalesce(F.col("feed").isin(*FEEDS), F.lit(False)), "unknown_feed").when(~F.col("quoted"), "quoting")
     for feed in FEEDS:
