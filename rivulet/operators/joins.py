@@ -19,6 +19,21 @@ def equi_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right
     return out if keep_right else out.drop(*[right[b] for b in right_keys])
 
 
+def skewed_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, salt: int = 16, share: int = 100) -> DataFrame:
+    """An equi join whose left side has keys with more than 1/share of its rows: those are spread over ``salt`` tasks each, and only their right rows are repeated.
+
+    There are at most ``share`` such keys, whatever the data; all others are joined as they are.
+    """
+    total = left.count()
+    hot = [r[0] for r in left.where(left[left_key].isNotNull()).groupBy(left_key).count().where(F.col("count") * share > total).select(left_key).collect()]
+    if not hot:
+        return left.join(right, left[left_key] == right[right_key])
+    l = left.withColumn("__s", F.when(F.col(left_key).isin(hot), F.pmod(F.xxhash64(*left.columns), F.lit(salt))).otherwise(F.lit(0).cast("bigint")))
+    copies = F.when(F.col(right_key).isin(hot), F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
+    r = right.withColumn("__rs", F.explode(copies))
+    return l.join(r, (l[left_key] == r[right_key]) & (F.col("__s") == F.col("__rs"))).drop("__s", "__rs")
+
+
 def expression_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column) -> DataFrame:
     """On equal values of an expression of each side."""
     return left.withColumn("__k", left_key).join(right.withColumn("__k", right_key), "__k").drop("__k")

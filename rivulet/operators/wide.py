@@ -49,8 +49,9 @@ def narrow_tables(rows: DataFrame, attributes: list[tuple[int, str, str]]) -> Da
         .agg(F.max(F.struct("c0", "arrival", "deleted", "val")).alias("s"))
         .select("c1", F.when(F.col("attr_id").isNotNull() & ~F.col("s.deleted"), F.col("s.val")).alias("val"), "attr_id")
     )
-    # a few files per attribute, however large one of them is
-    return staged(latest.repartition(F.col("attr_id"), F.pmod(F.xxhash64("c1"), F.lit(8))), "narrow", ("attr_id",))
+    # an attribute is written by an eighth of the tasks, however large it is, and a task writes to an eighth of the attributes or so
+    salts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    return staged(latest.repartition(F.col("attr_id"), F.pmod(F.xxhash64("c1"), F.lit(salts))), "narrow", ("attr_id",))
 
 
 def _tree(parts: list[DataFrame]) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +19,7 @@ from rivulet.operators import windows as Win
 from rivulet.plans import sql
 from rivulet.plans.builder import Context
 from rivulet.plans.pipeline import Stream
-from rivulet.shared import shared_dir, table
+from rivulet.shared import passing_path, table
 from rivulet.sources import Sources, delimited
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -359,6 +358,12 @@ def join_multiple_bushy(spark, d):
     return A.group([], A.count(), F.round(F.sum("p_retailprice"), 2).alias("total"))(j)
 
 
+@query("select o_custkey, count(*)::bigint as n, sum(l.linenumber)::bigint as lines from (select orderkey, custkey as o_custkey from tpch_orders) o join tpch_lineitems l on o.orderkey = l.orderkey group by 1")
+def join_skewed_keys(spark, d):
+    l, o = table(spark, d, "tpch_lineitems").select("orderkey", "linenumber"), table(spark, d, "tpch_orders").select(C("orderkey").alias("k"), C("custkey").alias("o_custkey"))
+    return A.group(["o_custkey"], A.count(), F.sum("linenumber").alias("lines"))(J.skewed_join(l, o, "orderkey", "k"))
+
+
 EDGES = "select distinct l_partkey % 97 as a, (l_suppkey * 7 + l_linenumber) % 97 as b from lineitem where l_quantity > 48"
 
 
@@ -659,7 +664,7 @@ def plan_builder_nway(spark, d):
 @query("select n_nationkey, n_name, n_regionkey from nation")
 def sink_delimited_roundtrip(spark, d):
     n = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    path = f"{shared_dir(spark)}/rivulet/nation-text-{uuid.uuid4().hex}"
+    path = passing_path(spark, "nation-text")
     K.materialize(path)(n)
     return delimited(spark, path, T.StructType.fromDDL("n_nationkey int, n_name string, n_regionkey int"))
 

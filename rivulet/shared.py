@@ -6,8 +6,10 @@ never by keeping blocks on executors, so a lost executor costs a re-read only.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +25,37 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def passing_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder for what this session needs only while it runs; it is removed when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/rivulet/{label}-{uuid.uuid4().hex}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors of a cluster, for the Python workers of operators that need it there."""
+    sc = spark.sparkContext
+    if sc.master.split("[")[0] == "local" or sc.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="rivulet-"), "rivulet.zip")  # on the driver, which serves it
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(here):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("rivulet", os.path.relpath(full, here)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
 def staged(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Writes ``df`` once and reads it back; later branches read the files instead of repeating the work."""
-    path = f"{shared_dir(df.sparkSession)}/rivulet/{label}-{uuid.uuid4().hex}"
+    path = passing_path(df.sparkSession, label)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)

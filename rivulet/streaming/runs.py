@@ -6,15 +6,15 @@ run goes on after an executor or the driver is lost.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
-from rivulet.shared import shared_dir
+from rivulet.shared import passing_path
 
 
 def events_stream(spark: SparkSession, path: str, ts: str, late: str | None = "1 hour", files_per_trigger: int | None = None) -> DataFrame:
@@ -51,7 +51,7 @@ def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     every change, with the number of its batch in ``batch``.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/rivulet/stream-{uuid.uuid4().hex}"
+    base = passing_path(spark, "stream")
     out, schema = f"{base}/out", stream.schema
     writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).outputMode(mode)
     if mode == "append":
@@ -68,6 +68,15 @@ def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(schema).parquet(out)
 
 
+def live(stream: DataFrame, name: str, mode: str = "complete", every: str | None = None) -> StreamingQuery:
+    """Keeps the current result as a table ``name`` that SQL can ask while the stream runs, renewed every so often.
+
+    The table is held by the driver, so this is for small results such as totals.
+    """
+    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode)
+    return (writer.trigger(processingTime=every) if every else writer).start()
+
+
 def latest_by_key(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The result that a stream of updates ends with."""
     w = W.partitionBy(*keys).orderBy(F.col("batch").desc())

@@ -42,6 +42,16 @@ def test_band_join_equals_brute_force(two, d, closed, salt):
         assert "NestedLoop" not in plan_of(got) and "Cartesian" not in plan_of(got)
 
 
+def test_skewed_join_equals_plain_join(spark):
+    rng = random.Random(3)
+    l = spark.createDataFrame([(rng.choice([1, 1, 1, 2, None, rng.randrange(99)]), k) for k in range(300)], "k int, a int")
+    r = spark.createDataFrame([(rng.choice([1, 2, 3, None]), k) for k in range(30)], "j int, b int")
+    want = sorted(map(tuple, l.join(r, l.k == r.j).collect()))
+    for share in (4, 100, 1):
+        assert sorted(map(tuple, J.skewed_join(l, r, "k", "j", salt=3, share=share).collect())) == want
+    assert J.skewed_join(l.where("false"), r, "k", "j").count() == 0
+
+
 def test_equi_join_drops_right_key_and_nulls(two):
     _, _, dl, dr = two
     j = J.equi_join(dl, dr, ["x"], ["y"])
@@ -208,6 +218,14 @@ def test_streams_equal_batch(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, Win.windowed(batch, "ts", 600, F.sum("v").alias("v"), slide=300, keys=["k"]).collect()))
     counts = streaming.finished(A.group(["k"], A.count())(streaming.events_stream(spark, path, "ts", late=None, files_per_trigger=1)), "update")
     assert sorted(map(tuple, streaming.latest_by_key(counts, ["k"]).collect())) == sorted(map(tuple, A.group(["k"], A.count())(batch).collect()))
+    q = streaming.live(A.group(["k"], A.count())(streaming.events_stream(spark, path, "ts", late=None)), "live_counts", every="1 second")
+    ctx = Context(spark)
+    try:
+        q.processAllAvailable()
+        assert sorted(map(tuple, spark.sql("select * from live_counts").collect())) == sorted(map(tuple, A.group(["k"], A.count())(batch).collect()))
+        assert "live_counts" in ctx.queries()
+    finally:
+        assert ctx.stop("live_counts") and not ctx.stop("live_counts")
     signed = streaming.changes_of(counts, ["k"], "n").groupBy("k").agg(F.sum(F.col("n") * F.col("multiplicity")).alias("n"))
     assert sorted(map(tuple, signed.collect())) == sorted(map(tuple, A.group(["k"], A.count())(batch).collect()))
     a = events.where("k = 'a'").select(F.col("id").alias("a"), F.col("ts").alias("t"), F.col("v").alias("x"))
