@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.shared import ship
+
 BITS, LANES = 48, 4  # ranks kept; counters in one bigint while they are summed
 
 
@@ -54,6 +56,7 @@ def merge(sketches: DataFrame, group: Sequence[str]) -> DataFrame:
 
 def estimates(sketches: DataFrame, group: Sequence[str], buckets: int = 4096) -> DataFrame:
     """(group.., metric, estimate, std_error, low, high); low and high lie two standard errors off."""
+    ship(sketches.sparkSession)
     lanes = []
     for k in range(0, BITS, LANES):
         word = F.lit(0).cast("bigint")

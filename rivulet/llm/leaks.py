@@ -32,6 +32,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.shared import ship
+
 #: Windows-1252 characters of the bytes 80 to 9F; the five bytes without one stay control characters.
 CP1252 = {ord(bytes([b]).decode("cp1252")): b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 GARBLED = re.compile("[Â-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–-…‰‹›€™]")
@@ -290,6 +292,7 @@ def _scanner(model):
 def passages(documents: DataFrame, items: DataFrame, block_tokens: int = 1_000_000) -> DataFrame:
     """The longest leaked passage of each item in each document: SCHEMA. start_pos and end_pos are code points of the text, null for garbled text."""
     spark = documents.sparkSession
+    ship(spark)
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null and text <> ''")
     out = None
     for automaton in _blocks(items, block_tokens):

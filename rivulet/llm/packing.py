@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.shared import staged
+from rivulet.shared import ship, staged
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How the texts of the rank files are cut before merging (given with the vocabularies).
@@ -239,6 +239,7 @@ def _packer(capacity: int, close_at: float, patience: int, carry: int, last_roun
 
 def pack(items: DataFrame, capacity: int, close_at: float = 0.998, patience: int = 24, carry: int = 10_000) -> DataFrame:
     """SCHEMA for items (doc_id, n_tokens). close_at: the fill from which a container is closed; carry: items of open containers that a block hands on at most."""
+    ship(items.sparkSession)
     first = items.where("n_tokens is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("n_tokens").cast("bigint").alias("n_tokens"))
     packed = staged(first.mapInPandas(_packer(capacity, close_at, patience, carry, False), SCHEMA), "packed")
     left = packed.where("container = -1").drop("container")
