@@ -78,13 +78,12 @@ def _counted(feed: str) -> Column:
     return (F.size("f") == len(fields) + 1) & (F.element_at("f", -1) == "")
 
 
-def _valued(feed: str, types: Column | None) -> Column:
+def _valued(feed: str, types: Column) -> Column:
     ok = F.lit(True)
     for i, (name, kind) in enumerate(FEEDS[feed][1]):
         x = F.get("f", F.lit(i))
         if name == "c3":
-            if types is not None:
-                ok = ok & ((x == "") | value_text(x, F.try_element_at(types, hash_text(F.get("f", F.lit(2))))).isNotNull())
+            ok = ok & ((x == "") | value_text(x, F.try_element_at(types, hash_text(F.get("f", F.lit(2))))).isNotNull())
             continue
         if name == "c4":
             ok = ok & x.isin("0", "1")
@@ -95,14 +94,18 @@ def _valued(feed: str, types: Column | None) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def _types(attribute_types: DataFrame) -> Column | None:
+def _types(attribute_types: DataFrame) -> Column:
     known = catalogue(attribute_types)
     return F.create_map(*[F.lit(x) for _, n, t in known for x in (n, t)]) if known else F.create_map(F.lit(""), F.lit(""))
 
 
 def load(raw: DataFrame, feed: str, attribute_types: DataFrame) -> DataFrame:
-    """The conforming rows of one feed, typed, with the record's offset (rec_id, d) and source columns of the feed."""
-    ok = F.col("quoted") & F.coalesce(_counted(feed), F.lit(False)) & _valued(feed, _types(attribute_types))
+    """The conforming rows of one feed, typed, with the record's offset (rec_id, d) and the feed's columns."""
+    return _loaded(raw, feed, _types(attribute_types))
+
+
+def _loaded(raw: DataFrame, feed: str, types: Column) -> DataFrame:
+    ok = F.col("quoted") & F.coalesce(_counted(feed), F.lit(False)) & _valued(feed, types)
     cols = [F.nullif(F.get("f", F.lit(i)), F.lit("")).try_cast(kind).alias(name) for i, (name, kind) in enumerate(FEEDS[feed][1])]
     return _cut(raw.where(F.col("feed") == feed)).where(ok).select("rec_id", "d", *cols)
 
@@ -112,7 +115,7 @@ def rejected(raw: DataFrame, attribute_types: DataFrame) -> DataFrame:
     types = _types(attribute_types)
     loaded = None
     for feed in FEEDS:
-        part = load(raw, feed, attribute_types).select("rec_id", "d")
+        part = _loaded(raw, feed, types).select("rec_id", "d")
         loaded = part if loaded is None else loaded.unionByName(part)
     offsets = raw.select("rec_id", "feed", "line", F.xxhash64(F.coalesce("line", F.lit(""))).alias("d")).alias("r")
     rest = offsets.join(loaded.alias("l"), F.col("r.rec_id").eqNullSafe(F.col("l.rec_id")) & (F.col("r.d") == F.col("l.d")), "left_anti")
