@@ -13,7 +13,8 @@ information, less the Poisson part that a fixed count doesn't have; it is at
 most about 0.65 / sqrt(buckets), 1.0 % at 4096.
 
 Nulls: a null identifier isn't counted; null group values are values. A group
-without identifiers has no row. Empty tables give no rows.
+without identifiers has no row. Empty tables give no rows; extra columns are
+ignored, and groups may not be named metric, bucket, bits, h or r.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ def sketch(df: DataFrame, group: Mapping[str, Column], ids: Mapping[str, Column]
     """(group.., metric, bucket, bits): one sketch for each group and each named identifier."""
     if buckets & (buckets - 1) or not 16 <= buckets <= 32768:
         raise ValueError("buckets must be a power of two from 16 to 32768")
+    if taken := {"metric", "bucket", "bits", "h", "r"} & set(group):
+        raise ValueError(f"groups may not be named {sorted(taken)}")
     width = buckets.bit_length() - 1
     hashed = df.select(*[c.alias(g) for g, c in group.items()], *[F.when(c.isNotNull(), F.xxhash64(c)).alias(f"h_{m}") for m, c in ids.items()])
     pairs = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"h_{m}").alias("h")) for m in ids]))

@@ -11,7 +11,8 @@ target rank is picked: only the rows where a target falls leave their partition.
 
 Nulls: null values (and NaN) are left out; a null group is a group of its own. A
 group without values has no row. Repeated rows count as often as they stand
-there; -0.0 and 0.0 are one value. Empty tables give no rows.
+there; -0.0 and 0.0 are one value. Empty tables give no rows; extra columns are
+ignored, and groups may not be named as the results are (value, n, size, share).
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from rivulet.shared import broadcast_if_small
 
 def frequencies(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """The partial result: (group.., value, n)."""
+    if taken := {"value", "n", "size", "share"} & set(group):
+        raise ValueError(f"groups may not be named {sorted(taken)}")
     v = F.col(value).cast("double") + F.lit(0.0)
     return df.select(*group, v.alias("value")).where("value is not null and not isnan(value)").groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
 
@@ -44,18 +47,18 @@ def percentiles(state: DataFrame, group: Sequence[str], shares: Sequence[float])
     """(group.., share, value, n): value is the share-percentile of the group's n values."""
     group = list(group)
     rows, offsets = positions(state, group, [F.col("value").asc()], weight="n", every_group=True)
-    sizes = offsets.groupBy(*group).agg(F.sum("total").alias("size"))
+    sizes = offsets.groupBy(*group).agg(F.sum("__total").alias("size"))
 
     def same(a: str, b: str) -> Column:
         return reduce(lambda x, g: x & F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")), group, F.lit(True))
 
-    known = offsets.alias("o").join(sizes.alias("z"), same("o", "z")).select(*[F.col(f"o.{g}").alias(g) for g in group], "pid", "before", "size")
+    known = offsets.alias("o").join(sizes.alias("z"), same("o", "z")).select(*[F.col(f"o.{g}").alias(g) for g in group], "__pid", "__before", "size")
     known = broadcast_if_small(known, 100_000)
     targets = F.array(*[F.lit(float(p)) for p in shares])
-    end = F.col("before") + F.col("pos")
+    end = F.col("__before") + F.col("__pos")
     placed = (
         rows.alias("r")
-        .join(known.alias("k"), same("r", "k") & (F.col("r.pid") == F.col("k.pid")))
+        .join(known.alias("k"), same("r", "k") & (F.col("r.__pid") == F.col("k.__pid")))
         .select(*[F.col(f"r.{g}").alias(g) for g in group], "value", (end - F.col("r.n")).alias("start"), end.alias("end"), "size")
     )
 

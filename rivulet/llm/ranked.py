@@ -19,7 +19,7 @@ from rivulet.shared import staged
 
 
 def _numbering(group: list[str], weight: str | None, keep: int | None, every_group: bool):
-    """A function for mapInArrow over partitions sorted by group: adds pid, pos (running weight in the group within the partition) and the summary rows."""
+    """A function for mapInArrow over partitions sorted by group: adds __pid, __pos (running weight in the group within the partition) and the summary rows."""
 
     def number(batches: Iterator) -> Iterator:
         import numpy as np
@@ -55,7 +55,7 @@ def _numbering(group: list[str], weight: str | None, keep: int | None, every_gro
             total = int(pos[-1])
             out = pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(np.full(n, pid, dtype=np.int32)), pa.array(pos), pa.array(np.zeros(n, dtype=bool))],
-                names=[*schema.names, "pid", "pos", "summary"],
+                names=[*schema.names, "__pid", "__pos", "__summary"],
             )
             yield out.filter(pa.array(pos <= keep)) if keep is not None else out
         if opened is not None:
@@ -66,34 +66,34 @@ def _numbering(group: list[str], weight: str | None, keep: int | None, every_gro
                 cols.append(pa.nulls(len(edges), f.type) if k is None else pa.array([e[k] for e in edges], type=f.type))
             yield pa.RecordBatch.from_arrays(
                 [*cols, pa.array([pid] * len(edges), type=pa.int32()), pa.array([e[-1] for e in edges], type=pa.int64()), pa.array([True] * len(edges))],
-                names=[*schema.names, "pid", "pos", "summary"],
+                names=[*schema.names, "__pid", "__pos", "__summary"],
             )
 
     return number
 
 
 def positions(df: DataFrame, group: Sequence[str], order: Sequence[Column], weight: str | None = None, keep: int | None = None, every_group: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Rows with pid and pos, and the offsets (group, pid, before) to add to pos for the position in the whole group.
+    """Rows with __pid and __pos, and the offsets (group, __pid, __before) to add to __pos for the position in the whole group.
 
     weight: a bigint column to sum instead of counting rows. keep: rows beyond
     this position within their partition are dropped, as their position in the
     whole group is beyond it too. every_group: offsets hold each group of each
-    partition (with its total there, ``total``), else only those at the edges.
+    partition (with its total there, ``__total``), else only those at the edges.
     """
     group = list(group)
     sorted_rows = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), "pid int", "pos bigint", "summary boolean"])
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), "__pid int", "__pos bigint", "__summary boolean"])
     numbered = staged(sorted_rows.mapInArrow(_numbering(group, weight, keep, every_group), schema), "ranked")
-    summary = numbered.where("summary").groupBy(*group, "pid").agg(F.max("pos").alias("total"))
-    before = F.sum("total").over(W.partitionBy(*group).orderBy("pid").rowsBetween(W.unboundedPreceding, -1))
-    offsets = summary.select(*group, "pid", "total", F.coalesce(before, F.lit(0)).alias("before"))
-    return numbered.where("not summary").drop("summary"), offsets
+    summary = numbered.where("__summary").groupBy(*group, "__pid").agg(F.max("__pos").alias("__total"))
+    before = F.sum("__total").over(W.partitionBy(*group).orderBy("__pid").rowsBetween(W.unboundedPreceding, -1))
+    offsets = summary.select(*group, "__pid", "__total", F.coalesce(before, F.lit(0)).alias("__before"))
+    return numbered.where("not __summary").drop("__summary"), offsets
 
 
 def placed(rows: DataFrame, offsets: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Adds ``place``, the position in the whole group."""
-    o = offsets.where("before > 0").select(*[F.col(g).alias(f"o_{g}") for g in group], F.col("pid").alias("o_pid"), "before")
-    on = F.col("pid") == F.col("o_pid")
+    """Adds ``__place``, the position in the whole group."""
+    o = offsets.where("__before > 0").select(*[F.col(g).alias(f"__o_{g}") for g in group], F.col("__pid").alias("__o_pid"), "__before")
+    on = F.col("__pid") == F.col("__o_pid")
     for g in group:
-        on = on & F.col(g).eqNullSafe(F.col(f"o_{g}"))
-    return rows.join(o, on, "left").withColumn("place", F.col("pos") + F.coalesce("before", F.lit(0))).drop("o_pid", "before", *[f"o_{g}" for g in group])
+        on = on & F.col(g).eqNullSafe(F.col(f"__o_{g}"))
+    return rows.join(o, on, "left").withColumn("__place", F.col("__pos") + F.coalesce("__before", F.lit(0))).drop("__o_pid", "__before", *[f"__o_{g}" for g in group])

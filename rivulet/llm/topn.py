@@ -37,5 +37,5 @@ def latest(df: DataFrame, key: str, *values: str) -> DataFrame:
 
 def top_n(df: DataFrame, group: list[str], score: str, item: str, n: Column, most: int) -> DataFrame:
     """(group.., rnk, item) of the items placed up to n, the same for all rows of a group and no more than ``most``."""
-    rows, offsets = positions(df.where(F.col(score).isNotNull() & F.col(item).isNotNull()), group, [F.col(score).desc(), F.col(item).asc()], keep=most)
-    return placed(rows, offsets, group).where(F.col("place") <= n).select(*group, F.col("place").cast("int").alias("rnk"), F.col(item).alias("item"))
+    rows, offsets = positions(df.select(*group, score, item).where(F.col(score).isNotNull() & F.col(item).isNotNull()), group, [F.col(score).desc(), F.col(item).asc()], keep=most)
+    return placed(rows, offsets, group).where(F.col("__place") <= n).select(*group, F.col("__place").cast("int").alias("rnk"), F.col(item).alias("item"))

@@ -61,7 +61,7 @@ def test_amount(spark, text, value):
 def test_top_n_equals_brute_force(spark, seed, groups):
     rng = random.Random(seed)
     rows = [(rng.randrange(groups) if rng.random() > 0.3 else 0, rng.choice([rng.randrange(6), None]), k) for k in range(900)]
-    df = spark.createDataFrame(rows, "g long, s long, i long").withColumn("s", F.col("s").cast("double")).repartition(5)
+    df = spark.createDataFrame(rows, "g long, s long, i long").withColumn("s", F.col("s").cast("double")).withColumn("pid", F.lit(1)).withColumn("place", F.lit("clash")).repartition(5)
     got = topn.top_n(df, ["g"], "s", "i", F.lit(4), 4)
     want = []
     for g in range(groups):
@@ -97,6 +97,15 @@ def test_percentiles_equal_brute_force(spark, seed, n):
     assert got == sorted(want)
 
 
+def test_names_of_groups(spark):
+    df = spark.createDataFrame([(1, 2.0)], "pid long, v double").withColumn("value", F.lit("clash"))
+    state = percentiles.frequencies(df, ["pid"], "v")
+    assert [tuple(r) for r in percentiles.percentiles(state, ["pid"], [0.5]).collect()] == [(1, 0.5, 2.0, 1)]
+    for bad in (lambda: percentiles.frequencies(df, ["value"], "v"), lambda: distinct.sketch(df, {"bits": F.col("pid")}, {"x": F.col("v")})):
+        with pytest.raises(ValueError):
+            bad()
+
+
 # containers
 
 
@@ -133,7 +142,7 @@ def first_fit_decreasing(sizes, capacity):
 def test_pack(spark, seed, n, most):
     rng = random.Random(seed)
     sizes = {k: rng.randrange(most) for k in range(n)}
-    df = spark.createDataFrame(list(sizes.items()), "doc_id long, n_tokens long").repartition(3).withColumn("piece_", F.lit(1))
+    df = spark.createDataFrame(list(sizes.items()), "doc_id long, n_tokens long").repartition(3).withColumn("piece", F.lit(1)).withColumn("container", F.lit("clash"))
     boxes = fits(map(tuple, packing.pack(df, 100).collect()), sizes, 100)
     assert boxes <= first_fit_decreasing(sizes.values(), 100) * 1.02 + 2
 
