@@ -302,6 +302,22 @@ def test_garbled_text_has_the_units_meant(spark):
     assert units(spark, [russian.replace("—", "-").encode("cp1251").decode("koi8-r")]) == units(spark, [russian.replace("—", "-")])
 
 
+@has_data
+def test_units_cover_every_text(spark):
+    """Units don't overlap, and no character but blanks is left out."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").where("text is not null")
+    texts = dict(map(tuple, docs.collect()))
+    found = {}
+    for r in S.sentence_units(docs).collect():
+        found.setdefault(r.doc_id, []).append((r.start_pos, r.end_pos))
+    for doc, text in texts.items():
+        at = 0
+        for a, b in sorted(found.get(doc, [])):
+            assert at <= a < b <= len(text) and not text[at:a].strip(S.BLANKS)
+            at = b
+        assert not text[at:].strip(S.BLANKS)
+
+
 def test_restored_sentences(spark):
     docs = spark.createDataFrame([(1, "Mr. A left. It was 3.5!")], "doc_id int, text string")
     assert sorted(r.sentence for r in S.sentences(docs).collect()) == ["It was 3.5!", "Mr. A left."]
