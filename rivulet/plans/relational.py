@@ -224,7 +224,7 @@ def agg_global(spark, d):
     return A.group([], A.total(C("l_quantity"), "q"))(table(spark, d, "lineitem"))
 
 
-@query("select 1.0 as q where false")
+@query("select 1.0::double as q where false")
 def agg_global_empty(spark, d):
     return A.group([], A.total(C("l_quantity"), "q"))(table(spark, d, "lineitem").where("l_quantity < 0"))
 
