@@ -23,6 +23,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def hash_text(c: Column) -> Column:
     """32 bytes as 44 characters of padded standard base64, from padded, unpadded, URL-safe base64 or hexadecimal digits."""
+    # most values have the one spelling already: 256 bits leave two bits of the last character empty
+    return F.when(c.rlike(r"^[A-Za-z0-9+/]{42}[AEIMQUYcgkosw048]=$"), c).otherwise(_hash_text(c))
+
+
+def _hash_text(c: Column) -> Column:
     return let(
         F.translate(F.rtrim(bare(c), F.lit("=")), "-_", "+/"),
         lambda s: F.when(s.rlike(r"^[A-Za-z0-9+/]{43}$"), F.base64(F.unbase64(F.concat(s, F.lit("="))))).when(s.rlike(r"^(0[xX])?[0-9A-Fa-f]{64}$"), F.base64(F.unhex(F.right(s, F.lit(64))))),
@@ -45,15 +50,16 @@ def integer_text(c: Column) -> Column:
         power = let(s.try_cast("decimal(38,9)"), lambda x: F.when(x == F.floor(x), x.try_cast("decimal(38,0)")))
         return F.when(s.rlike(r"^[+-]?\d+(\.0*)?$"), plain).when(s.rlike("[eE]"), power).cast("string")
 
-    return let(number_text(c), whole)
+    return F.when(c.rlike(r"^(0|[1-9]\d{0,17})$"), c).otherwise(let(number_text(c), whole))
 
 
 def real_text(c: Column) -> Column:
-    return (number_text(c).try_cast("double") + F.lit(0.0)).cast("string")
+    plain = F.when(c.rlike(r"^\d{1,9}\.\d{1,9}$"), c).otherwise(number_text(c))
+    return (plain.try_cast("double") + F.lit(0.0)).cast("string")
 
 
 def boolean_text(c: Column) -> Column:
-    return let(F.lower(bare(c)), lambda s: F.when(s.isin(*YES), "true").when(s.isin(*NO), "false"))
+    return F.when(c.isin("true", "false"), c).otherwise(let(F.lower(bare(c)), lambda s: F.when(s.isin(*YES), "true").when(s.isin(*NO), "false")))
 
 
 def value_text(c: Column, value_type: Column) -> Column:
