@@ -6,7 +6,9 @@ longest text of any item that ends there. Wherever that is at least a seed
 long, all places in items with the same last tokens are extended both ways,
 letting up to one token in eight be changed, missing or added; a passage counts
 if it is long enough (12 words, in Chinese and Japanese 25 characters, or the
-whole of a shorter item), and must begin and end with an equal token.
+whole of a shorter item), and must begin and end with an equal token. All such
+passages are kept; those of one item that overlap in the document make one
+stretch of leaked text.
 
 Any passage with at most one edit in eight holds an unedited run of five words
 (six characters), so seeds of that length lose none.
@@ -29,7 +31,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.shared import ship
@@ -43,6 +45,7 @@ ASCII_TOKEN = re.compile("[a-z0-9]+")
 IS_CJK = re.compile(f"[{CJK}]")
 WORDS, CHARACTERS, ONE_IN = 12, 25, 8
 SEED_WORDS, SEED_CHARACTERS, MOST_EDITS = 5, 6, 4
+FAR_BEHIND = 64
 
 
 def ungarbled(text: str) -> str:
@@ -157,12 +160,12 @@ class Automaton:
             p = link[p]
         return new
 
-    def find(self, toks: list[str]) -> dict[int, tuple[int, int, int, int]]:
-        """item number -> (words of the passage, edits, its first and last token in the document) of the longest passage found."""
+    def find(self, toks: list[str]) -> dict[int, list[tuple[int, int, int, int]]]:
+        """item number -> (words and edits of the longest passage, first and last token in the document) of each stretch of overlapping passages."""
         get = self.vocab.get
         ids = [get(t, -1) for t in toks]
         nxt, link, length, top, ends, shortest = self.nxt, self.link, self.length, self.top, self.ends, self.shortest
-        found: dict[int, tuple[int, int, int, int]] = {}
+        found: dict[int, list[tuple[int, ...]]] = {}
         seen: dict[tuple[int, int], int] = {}
         v = n = 0
         for i, c in enumerate(ids):
@@ -186,7 +189,7 @@ class Automaton:
                     if seen.get((k, i - e), -1) >= i:
                         continue
                     self._extend(ids, i, k, e, seen, found)
-        return found
+        return {k: _stretches(spans) for k, spans in found.items()}
 
     def _extend(self, ids, i, k, e, seen, found) -> None:
         seq = self.seqs[k]
@@ -202,44 +205,60 @@ class Automaton:
         run = f - b
         if run < self.seed[k]:
             return
+        passages = found.get(k, ())
+        if any(p <= a and j - 1 <= q and lo <= b and f <= hi and abs((a - b) - (p - lo)) <= edits for _, edits, p, q, lo, hi in passages):
+            return  # part of a passage that was extended over it
         least = self.least[k]
-        if run >= least:
-            lefts = rights = [(0, 0)]
-        else:
-            lefts = _reach(ids[a - 1 :: -1] if a else [], seq[b - 1 :: -1] if b else [])
-            rights = _reach(ids[j : j + 64 + 2 * least], seq[f:])
-        best = None
-        for x, (la, lb) in enumerate(lefts):
-            for y, (ra, rb) in enumerate(rights):
+        rights = _reach(ids, seq, j, f, 1, run)
+        lefts = _reach(ids, seq, a - 1, b - 1, -1, run + max(rb - y * ONE_IN for y, _, rb in rights))
+        rights = _reach(ids, seq, j, f, 1, run + max(lb - x * ONE_IN for x, _, lb in lefts))
+        for x, la, lb in lefts:
+            for y, ra, rb in reversed(rights):
                 words, edits = run + lb + rb, x + y
-                if words >= least and edits * ONE_IN <= words and (best is None or words > best[0]):
-                    best = (words, edits, a - la, j + ra - 1)
-        if best and (k not in found or best[0] > found[k][0]):
-            found[k] = best
-
-
-def _reach(x: list[int], y: list[int]) -> list[tuple[int, int]]:
-    """For each number of edits, how many tokens of x and y an alignment from their beginnings reaches at most, ending with an equal token."""
-    x, y = x[:400], y[:400]
-    nx, ny = len(x), len(y)
-    reach = {0: 0}  # diagonal (place in x less place in y) -> place in y
-    best = [(0, 0)]
-    for _ in range(MOST_EDITS):
+                if words >= least and edits * ONE_IN <= words:
+                    found.setdefault(k, []).append((words, edits, a - la, j + ra - 1, b - lb, f + rb))
+                    break
+
+
+def _stretches(passages: list[tuple[int, ...]]) -> list[tuple[int, int, int, int]]:
+    out: list[tuple[int, int, int, int]] = []
+    for words, edits, p, q, *_ in sorted(passages, key=lambda s: s[2]):
+        if out and p <= out[-1][3]:
+            longest = max(out[-1][:2], (words, edits), key=lambda s: (s[0], -s[1]))
+            out[-1] = (*longest, out[-1][2], max(out[-1][3], q))
+        else:
+            out.append((words, edits, p, q))
+    return out
+
+
+def _reach(ids: list[int], seq: list[int], i: int, f: int, step: int, spare: int) -> list[tuple[int, int, int]]:
+    """(edits, tokens of ids, tokens of seq) that alignments from ids[i] and seq[f] on reach at most, ending with an equal token, wherever more edits reach further.
+
+    MOST_EDITS are always tried, more while they are at most one in ONE_IN of what is reached and of ``spare`` words beside it.
+    """
+    nx, ny = (len(ids) - i, len(seq) - f) if step > 0 else (i + 1, f + 1)
+    reach = {0: 0}  # diagonal (place in ids less place in seq) -> place in seq
+    best = [(0, 0, 0)]
+    edits = 0
+    while reach and edits < max(MOST_EDITS, (spare + best[-1][2]) // ONE_IN):
+        edits += 1
         new: dict[int, int] = {}
         for d, p in reach.items():
             for dd, q in ((d, p + 1), (d - 1, p + 1), (d + 1, p)):  # changed, missing, added
-                if q <= ny and q + dd <= nx and q > new.get(dd, -1):
+                if q <= ny and 0 <= q + dd <= nx and q > new.get(dd, -1):
                     new[dd] = q
-        top = best[-1]
+        _, top_d, top = best[-1]
         for d, q in new.items():
             q0 = q
-            while q < ny and q + d < nx and x[q + d] == y[q]:
+            while q < ny and q + d < nx and ids[i + step * (q + d)] == seq[f + step * q]:
                 q += 1
             new[d] = q
-            if q > q0 and q > top[1]:
-                top = (q + d, q)
-        best.append(top)
-        reach = new
+            if q > q0 and q > top:
+                top_d, top = q + d, q
+        if top > best[-1][2]:
+            best.append((edits, top_d, top))
+        # an alignment this far behind one of as many edits comes in again by seeds of its own, if at all
+        reach = {d: q for d, q in new.items() if q >= top - FAR_BEHIND}
     return best
 
 
@@ -280,8 +299,9 @@ def _scanner(model):
                 at = placed_tokens(text) if right == text else None
                 if at is not None and len(at) != len(toks):
                     at = None
-                for k, (words, edits, a, b) in found.items():
-                    rows.append((doc, automaton.items[k][0], words, edits, a, b, len(toks), at[a][1] if at else None, at[b][2] if at else None))
+                for k, stretches in found.items():
+                    for words, edits, a, b in stretches:
+                        rows.append((doc, automaton.items[k][0], words, edits, a, b, len(toks), at[a][1] if at else None, at[b][2] if at else None))
             if rows:
                 out = pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "edits", "first_token", "last_token", "n_tokens", "start_pos", "end_pos"])
                 yield out.astype({"start_pos": "Int32", "end_pos": "Int32"})
@@ -290,7 +310,7 @@ def _scanner(model):
 
 
 def passages(documents: DataFrame, items: DataFrame, block_tokens: int = 1_000_000) -> DataFrame:
-    """The longest leaked passage of each item in each document: SCHEMA. start_pos and end_pos are code points of the text, null for garbled text."""
+    """Every leaked stretch of each item in each document: SCHEMA. words and edits are those of the longest passage in it; start_pos and end_pos are code points of the text, null for garbled text."""
     spark = documents.sparkSession
     ship(spark)
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null and text <> ''")
@@ -307,9 +327,22 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def removals(documents: DataFrame, items: DataFrame, coverage: float = 0.5) -> DataFrame:
-    """(doc_id, drop, cuts): a document whose leaked tokens exceed the share ``coverage`` is to be dropped, from others the spans [start_pos, end_pos) are to be cut."""
-    spans = passages(documents, items)
+    """(doc_id, drop, cuts): a document of which a stretch exceeds the share ``coverage`` is to be dropped, from others the spans [start_pos, end_pos) are to be cut; they don't overlap."""
+    spans = _united(passages(documents, items))
     return spans.groupBy("doc_id").agg(
-        (F.max((F.col("last_token") - F.col("first_token") + 1) / F.col("n_tokens")) > coverage).alias("drop"),
-        F.array_sort(F.collect_set(F.struct("start_pos", "end_pos"))).alias("cuts"),  # at most one span for each item of the query set
+        (F.max(F.col("n_leaked") / F.col("n_tokens")) > coverage).alias("drop"),
+        F.array_sort(F.collect_set(F.struct("start_pos", "end_pos"))).alias("cuts"),
+    )
+
+
+def _united(spans: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, n_leaked, start_pos, end_pos): stretches of any items, those that overlap or adjoin made one."""
+    before = F.max("last_token").over(Window.partitionBy("doc_id", "n_tokens").orderBy("first_token", "last_token").rowsBetween(Window.unboundedPreceding, -1))
+    apart = spans.withColumn("__new", F.coalesce(F.col("first_token") > before + 1, F.lit(True)).cast("int"))
+    number = F.sum("__new").over(Window.partitionBy("doc_id", "n_tokens").orderBy("first_token", "last_token").rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        apart.withColumn("__number", number)
+        .groupBy("doc_id", "n_tokens", "__number")
+        .agg((F.max("last_token") - F.min("first_token") + 1).alias("n_leaked"), F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"))
+        .drop("__number")
     )

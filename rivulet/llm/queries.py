@@ -90,7 +90,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_passages(spark: SparkSession, d: str) -> DataFrame:
-    """The longest leaked passage of each item in each document, with its place."""
+    """Every leaked stretch of each item in each document, with its place."""
     return leaks.passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 

@@ -233,6 +233,26 @@ def test_items_and_shared_passages(spark):
     assert leaks.leaks(bad.where("text not like '%�%'"), one).count() == (0 if "�" in bad.first().text else 1)
 
 
+def test_every_passage_is_cut(spark):
+    w = [f"w{k}" for k in range(60)]
+    one = leaks.Automaton([(1, w)])
+    assert one.find(["x", *w[:30], "zzz", *w[31:], "y"]) == {0: [(60, 1, 1, 60)]}
+    assert one.find([*w, "x", *w]) == {0: [(60, 0, 0, 59), (60, 0, 61, 120)]}
+    assert one.find([*w[:20], *"abcdefghij", *w[40:]]) == {0: [(20, 0, 0, 19), (20, 0, 30, 49)]}
+    long = [f"v{k}" for k in range(2000)]
+    copy = ["zzz" if k % 12 == 11 else x for k, x in enumerate(long)][:-1]
+    assert [s[2:] for s in leaks.Automaton([(1, long)]).find(["x", *copy, "y"])[0]] == [(1, 1999)]
+    items = spark.createDataFrame([(1, " ".join(w)), (2, " ".join([*w[40:], *"klmnopqrst"]))], "item_id long, item_text string")
+    filler = " ".join(f"f{k}" for k in range(400))
+    docs = spark.createDataFrame([(1, f"{filler}. {' '.join([*w[:30], 'zzz', *w[31:]])}! {filler} {' '.join(w)} k l m n. {filler}")], "doc_id long, text string")
+    text = docs.first().text
+    row = leaks.removals(docs, items).first()
+    assert row.drop is False and len(row.cuts) == 2
+    for a, b in reversed(row.cuts):
+        text = text[:a] + text[b:]
+    assert text.split() == f"{filler}. ! {filler} . {filler}".split()
+
+
 # sentences
 
 CASES = [
