@@ -30,6 +30,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -263,6 +264,7 @@ def _reach(ids: list[int], seq: list[int], i: int, f: int, step: int, spare: int
 
 
 SCHEMA = "doc_id bigint, item_id bigint, words int, edits int, first_token int, last_token int, n_tokens int, start_pos int, end_pos int"
+HASHED = f"{SCHEMA}, text_hash bigint"
 
 
 def _blocks(items: DataFrame, block_tokens: int) -> Iterator[Automaton]:
@@ -288,7 +290,7 @@ def _scanner(model):
         automaton = model.value
         for frame in frames:
             rows = []
-            for doc, text in zip(frame["doc_id"], frame["text"]):
+            for doc, text, text_hash in zip(frame["doc_id"], frame["text"], frame["text_hash"]):
                 if not text:
                     continue
                 right = ungarbled(text)
@@ -296,29 +298,36 @@ def _scanner(model):
                 found = automaton.find(toks)
                 if not found:
                     continue
-                at = placed_tokens(text) if right == text else None
-                if at is not None and len(at) != len(toks):
+                at = placed_tokens(right)
+                if right != text:  # each of its bytes is a character of the garbled text
+                    starts = [0, *accumulate(len(c.encode()) for c in right)]
+                    at = [(t, starts[a], starts[b]) for t, a, b in at]
+                if len(at) != len(toks):
                     at = None
                 for k, stretches in found.items():
                     for words, edits, a, b in stretches:
-                        rows.append((doc, automaton.items[k][0], words, edits, a, b, len(toks), at[a][1] if at else None, at[b][2] if at else None))
+                        rows.append((doc, automaton.items[k][0], words, edits, a, b, len(toks), at[a][1] if at else None, at[b][2] if at else None, text_hash))
             if rows:
-                out = pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "edits", "first_token", "last_token", "n_tokens", "start_pos", "end_pos"])
+                out = pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "edits", "first_token", "last_token", "n_tokens", "start_pos", "end_pos", "text_hash"])
                 yield out.astype({"start_pos": "Int32", "end_pos": "Int32"})
 
     return scan
 
 
 def passages(documents: DataFrame, items: DataFrame, block_tokens: int = 1_000_000) -> DataFrame:
-    """Every leaked stretch of each item in each document: SCHEMA. words and edits are those of the longest passage in it; start_pos and end_pos are code points of the text, null for garbled text."""
+    """Every leaked stretch of each item in each document: SCHEMA. words and edits are those of the longest passage in it; start_pos and end_pos are code points of the text as it stands, garbled or not."""
+    return _passages(documents, items, block_tokens).drop("text_hash")
+
+
+def _passages(documents: DataFrame, items: DataFrame, block_tokens: int = 1_000_000) -> DataFrame:
     spark = documents.sparkSession
     ship(spark)
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null and text <> ''")
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).where("text is not null and text <> ''")
     out = None
     for automaton in _blocks(items, block_tokens):
-        part = texts.mapInPandas(_scanner(spark.sparkContext.broadcast(automaton)), SCHEMA)
+        part = texts.mapInPandas(_scanner(spark.sparkContext.broadcast(automaton)), HASHED)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], SCHEMA)
+    return out if out is not None else spark.createDataFrame([], HASHED)
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -327,22 +336,23 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def removals(documents: DataFrame, items: DataFrame, coverage: float = 0.5) -> DataFrame:
-    """(doc_id, drop, cuts): a document of which a stretch exceeds the share ``coverage`` is to be dropped, from others the spans [start_pos, end_pos) are to be cut; they don't overlap."""
-    spans = _united(passages(documents, items))
-    return spans.groupBy("doc_id").agg(
-        (F.max(F.col("n_leaked") / F.col("n_tokens")) > coverage).alias("drop"),
-        F.array_sort(F.collect_set(F.struct("start_pos", "end_pos"))).alias("cuts"),
-    )
+    """(doc_id, drop, cuts): a document whose leaked tokens exceed the share ``coverage`` is to be dropped, from others the spans [start_pos, end_pos) are to be cut; they don't overlap.
+
+    Texts that share a doc_id are judged one by one; the id is to be dropped if one of them is.
+    """
+    spans = _united(_passages(documents, items))
+    by_text = spans.groupBy("doc_id", "text_hash").agg((F.sum("n_leaked") / F.max("n_tokens")).alias("share"), F.collect_list(F.struct("start_pos", "end_pos")).alias("cuts"))
+    return by_text.groupBy("doc_id").agg((F.max("share") > coverage).alias("drop"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("cuts")))).alias("cuts"))
 
 
 def _united(spans: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, n_leaked, start_pos, end_pos): stretches of any items, those that overlap or adjoin made one."""
-    before = F.max("last_token").over(Window.partitionBy("doc_id", "n_tokens").orderBy("first_token", "last_token").rowsBetween(Window.unboundedPreceding, -1))
+    """(doc_id, text_hash, n_tokens, n_leaked, start_pos, end_pos): stretches of any items, those that overlap or adjoin made one."""
+    ordered = Window.partitionBy("doc_id", "text_hash").orderBy("first_token", "last_token")
+    before = F.max("last_token").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     apart = spans.withColumn("__new", F.coalesce(F.col("first_token") > before + 1, F.lit(True)).cast("int"))
-    number = F.sum("__new").over(Window.partitionBy("doc_id", "n_tokens").orderBy("first_token", "last_token").rowsBetween(Window.unboundedPreceding, 0))
     return (
-        apart.withColumn("__number", number)
-        .groupBy("doc_id", "n_tokens", "__number")
-        .agg((F.max("last_token") - F.min("first_token") + 1).alias("n_leaked"), F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"))
+        apart.withColumn("__number", F.sum("__new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("doc_id", "text_hash", "__number")
+        .agg(F.max("n_tokens").alias("n_tokens"), (F.max("last_token") - F.min("first_token") + 1).alias("n_leaked"), F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"))
         .drop("__number")
     )

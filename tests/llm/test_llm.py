@@ -253,6 +253,20 @@ def test_every_passage_is_cut(spark):
     assert text.split() == f"{filler}. ! {filler} . {filler}".split()
 
 
+def test_coverage_counts_all_leaked_tokens(spark):
+    w, f = [f"w{k}" for k in range(40)], [f"f{k}" for k in range(30)]
+    items = spark.createDataFrame([(1, " ".join(w[:20])), (2, " ".join(w[20:])), (3, "Où l’été déjà fini, l’élève égaré relève une clé près des prés")], "item_id long, item_text string")
+    garbled = "Voilà. Où l’été déjà fini, l’élève égaré relève une clé près des prés. Voilà, le reste du texte n’est pas à couper, bien qu’il soit écrit à la même époque que l’autre."
+    bad = garbled.encode("utf-8").decode("latin-1").translate({b: bytes([b]).decode("cp1252") for b in set(leaks.CP1252.values())})
+    # pieces of 20 words each, together 40 of 70 words; the same text twice, and another one of the same id
+    docs = spark.createDataFrame([(1, " ".join([*w[:20], *f, *w[20:]])), (2, " ".join([*w[:20], *f, *w[:9]])), (2, " ".join([*w[:20], *f, *w[:9]])), (2, " ".join([*f, *w[20:]])), (3, bad)], "doc_id long, text string")
+    got = {r.doc_id: r for r in leaks.removals(docs, items).collect()}
+    assert {k: r.drop for k, r in got.items()} == {1: True, 2: False, 3: False}
+    assert leaks.ungarbled(bad) == garbled and len(got[3].cuts) == 1
+    (a, b), = got[3].cuts
+    assert leaks.ungarbled(bad[:a] + bad[b:]) == garbled.replace("Où l’été déjà fini, l’élève égaré relève une clé près des prés", "")
+
+
 # sentences
 
 CASES = [
