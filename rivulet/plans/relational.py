@@ -375,6 +375,17 @@ def reachability_3hop(spark, d):
     return two.join(e.alias("z"), C("m") == C("z.a")).groupBy(two["a"].alias("a"), C("z.b").alias("b")).agg(F.sum("k").alias("n"))
 
 
+@query("with e as (select distinct l_partkey as a, l_suppkey as b from lineitem) select x.a as a, count(*)::bigint as n from e x join e y on x.b = y.a join e z on y.b = z.a group by 1")
+def reachability_3hop_arcs(spark, d):
+    """Paths of three arcs by start node, over all arcs from part to supplier; a part and a supplier of one number are one node."""
+    e = table(spark, d, "lineitem").select(C("l_partkey").alias("a"), C("l_suppkey").alias("b")).distinct()
+    # paths are counted hop by hop from their end, so no hop joins more rows than there are arcs
+    paths = e.groupBy("a").agg(A.count())
+    for _ in range(2):
+        paths = e.join(paths.select(C("a").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("n"))
+    return paths
+
+
 @query("select sum(r.o_orderkey * t.s_suppkey)::bigint as total, count(*)::bigint as n from orders r join customer s on r.o_custkey = s.c_custkey join supplier t on s.c_nationkey = t.s_nationkey where r.o_custkey = 10 having count(*) > 0")
 def rst(spark, d):
     r = table(spark, d, "orders").where("o_custkey = 10").select(C("o_orderkey").alias("A"), C("o_custkey").alias("B"))

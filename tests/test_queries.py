@@ -22,3 +22,12 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
     if os.path.isdir("/root/testdata/sf0.001"):
         assert e.entry(spark).count() > 0
+
+
+def test_reachability_over_all_arcs(spark):
+    arcs = {(r.l_partkey, r.l_suppkey) for r in spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()}
+    out: dict = {}
+    for a, b in arcs:
+        out.setdefault(a, []).append(b)
+    paths = {a: sum(len(out.get(c, ())) for b in out[a] for c in out.get(b, ())) for a in out}
+    assert dict(ALL["reachability_3hop_arcs"](spark, DATA).select("a", "n").collect()) == {a: n for a, n in paths.items() if n}
