@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.functions.spellings import catalogue, hash_text, let, value_text
+from rivulet.operators.wide import SQL_TYPES
 from rivulet.shared import staged
 
 TEXT, KEY, NUMBER, DATE = "string", "bigint", "double", "date"
@@ -110,6 +111,13 @@ def _loaded(raw: DataFrame, feed: str, types: Column) -> DataFrame:
     return _cut(raw.where(F.col("feed") == feed)).where(ok).select("rec_id", "d", *cols)
 
 
+def with_values(loaded: DataFrame, attribute_types: DataFrame) -> DataFrame:
+    """Rows of machine_attributes with c3 in a column of its attribute's type, c3_integer, c3_real, c3_boolean or c3_hash; an empty c3 is in none."""
+    kind = F.try_element_at(_types(attribute_types), hash_text(F.col("c2")))
+    valued = loaded.withColumn("__kind", kind).withColumn("__value", value_text(F.col("c3"), F.col("__kind")))
+    return valued.select(*loaded.columns, *[F.when(F.col("__kind") == k, F.col("__value").try_cast(t)).alias(f"c3_{k}") for k, t in SQL_TYPES.items()])
+
+
 def rejected(raw: DataFrame, attribute_types: DataFrame) -> DataFrame:
     """(rec_id, reason, feed, line) of the records that weren't loaded."""
     types = _types(attribute_types)

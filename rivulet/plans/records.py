@@ -32,6 +32,17 @@ def p3_loaded_orders(spark: SparkSession, d: str) -> DataFrame:
     return quarantine.load(table(spark, d, "raw_records"), "orders", table(spark, d, "attribute_types")).drop("d").withColumn("totalprice", F.round("totalprice", 2))
 
 
+def p3_loaded_lineitems(spark: SparkSession, d: str) -> DataFrame:
+    loaded = quarantine.load(table(spark, d, "raw_records"), "lineitems", table(spark, d, "attribute_types")).drop("d")
+    return loaded.withColumns({n: F.round(n, 2) for n, k in quarantine.FEEDS["lineitems"][1] if k == "double"})
+
+
+def p3_loaded_machine_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """With c3 also typed, in the column of its attribute's type."""
+    types = table(spark, d, "attribute_types")
+    return quarantine.with_values(quarantine.load(table(spark, d, "raw_records"), "machine_attributes", types).drop("d"), types)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     kept = history.satellites(table(spark, d, "machine_attributes"), table(spark, d, "attribute_types"))
     return history.versions(kept["fast"]).unionByName(history.versions(kept["slow"])).select("c1", "attr_id", "valid_from", "valid_to")
@@ -61,7 +72,7 @@ def p6_customer_lines(spark: SparkSession, d: str) -> DataFrame:
     return eager.join_states(left, right, ["orderkey"], ["custkey"], right_sums=["price"]).select("custkey", "n", F.col("price").cast("double").alias("price"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_filled, p3_found, p3_loaded_orders, p4_found, p6_found, p6_segment_orders, p6_customer_lines)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_filled, p3_found, p3_loaded_orders, p3_loaded_lineitems, p3_loaded_machine_attributes, p4_found, p6_found, p6_segment_orders, p6_customer_lines)}
 
 _USABLE = r"""
 cat as (
@@ -122,6 +133,15 @@ def _raw_sql(feed: str) -> str:
   from raw_records where feed = '{feed}') r {join}"""
 
 
+def _typed_sql(feed: str) -> str:
+    def one(i: int, name: str, kind: str) -> str:
+        x = f"cast(nullif(f[{i}], '') as {kind.replace('string', 'varchar')})"
+        return f"{f'round({x}, 2)' if kind == 'double' else x} as {name}"
+
+    return ", ".join(one(i, n, k) for i, (n, k) in enumerate(quarantine.FEEDS[feed][1], 1))
+
+
+
 ORACLE = {
     "p1_found": f"""with {_USABLE}, last as (select *, row_number() over (partition by c1, attr_id order by c0 desc, arrival desc) as rn from usable)
 select c1, attr_id, val as cell from last where rn = 1 and val is not null""",
@@ -133,6 +153,13 @@ from (select distinct c1 from machine_attributes where c0 is not null and c1 is
     "p3_loaded_orders": "select rec_id, "
     + ", ".join(f"{'round(' if k == 'double' else ''}cast(nullif(f[{i}], '') as {k.replace('string', 'varchar')}){', 2)' if k == 'double' else ''} as {n}" for i, (n, k) in enumerate(quarantine.FEEDS["orders"][1], 1))
     + f" from ({_raw_sql('orders')}) where reason is null",
+    "p3_loaded_lineitems": f"select rec_id, {_typed_sql('lineitems')} from ({_raw_sql('lineitems')}) where reason is null",
+    "p3_loaded_machine_attributes": f"""select rec_id, {_typed_sql('machine_attributes')},
+  case when value_type = 'integer' and f[4] <> '' then cast(regexp_replace(replace(replace(f[4], ',', ''), '+', ''), '\\..*$', '') as decimal(38,0)) end as c3_integer,
+  case when value_type = 'real' and f[4] <> '' then cast(replace(replace(f[4], ',', ''), '+', '') as double) end as c3_real,
+  case when value_type = 'boolean' and f[4] <> '' then lower(f[4]) in ('true', 't', 'yes', 'y', '1') end as c3_boolean,
+  case when value_type = 'hash' and f[4] <> '' then rtrim(translate(f[4], '-_', '+/'), '=') || '=' end as c3_hash
+from ({_raw_sql('machine_attributes')}) left join attribute_types on f[3] = attr_name where reason is null""",
     "p4_found": f"""with {_USABLE}, states as (
   select c1, attr_id, c0, arg_max(coalesce(val, ''), arrival) as val from usable group by c1, attr_id, c0
 ), changed as (

@@ -152,3 +152,12 @@ def test_heavy_keys(spark):
     df = spark.createDataFrame([(1,)] * 5 + [(2,)] * 4 + [(None,)] * 30 + [(k,) for k in range(10, 71)], "k int")
     assert [tuple(r) for r in eager.heavy_keys([("t", "k", df)]).collect()] == [("t", "k", "1")]  # 5 of 100 rows
     assert eager.heavy_keys([("t", "k", df.where("false"))]).count() == 0
+
+
+def test_loaded_values_are_typed(spark):
+    names = [base64.b64encode(bytes([k] * 32)).decode() for k in range(4)]
+    types = spark.createDataFrame([(k, n, t) for k, (n, t) in enumerate(zip(names, ("integer", "real", "boolean", "hash")))], "attr_id int, attr_name string, value_type string")
+    values = ["+57.", "1.5e1", "Yes", base64.urlsafe_b64encode(b"\xff" * 32).decode().rstrip("="), "", "3.7"]
+    raw = spark.createDataFrame([(k, "machine_attributes", f"{k},1,{names[k % 4]},{v},0") for k, v in enumerate(values[:5])] + [(5, "machine_attributes", f"5,1,{names[0]},{values[5]},0")], "rec_id long, feed string, line string")
+    got = quarantine.with_values(quarantine.load(raw, "machine_attributes", types), types).orderBy("rec_id").select("rec_id", "c3_integer", "c3_real", "c3_boolean", "c3_hash").collect()
+    assert [tuple(r) for r in got] == [(0, 57, None, None, None), (1, None, 15.0, None, None), (2, None, None, True, None), (3, None, None, None, "/" * 42 + "8="), (4, None, None, None, None)]
