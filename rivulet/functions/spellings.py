@@ -63,24 +63,34 @@ def boolean_text(c: Column) -> Column:
 
 
 def value_text(c: Column, value_type: Column) -> Column:
-    """The one spelling of a value of the given type (integer, real, boolean or hash), null if it denotes none."""
-    return let(
-        F.struct(c.alias("c"), value_type.alias("t")),
-        lambda v: F.when(v["t"] == "integer", integer_text(v["c"])).when(v["t"] == "real", real_text(v["c"])).when(v["t"] == "boolean", boolean_text(v["c"])).when(v["t"] == "hash", hash_text(v["c"])),
-    )
+    """The one spelling of a value of the given type (integer, real, boolean or hash), null if it denotes none. Both are named several times: they should be plain columns."""
+    return F.when(value_type == "integer", integer_text(c)).when(value_type == "real", real_text(c)).when(value_type == "boolean", boolean_text(c)).when(value_type == "hash", hash_text(c))
 
 
-def catalogue(attribute_types: DataFrame, limit: int = 20_000) -> list[tuple[int, str, str]]:
-    """(attr_id, name in its one spelling, type) of a catalogue. Its rows become columns, so more than ``limit`` is an error."""
+def catalogue(attribute_types: DataFrame | list, limit: int = 20_000) -> list[tuple[int, str, str]]:
+    """(attr_id, name in its one spelling, type) of a catalogue, each name once, with the least attr_id. Its rows become columns, so more than ``limit`` is an error."""
+    if isinstance(attribute_types, list):
+        return attribute_types
     rows = (
         attribute_types.select(F.col("attr_id").alias("i"), hash_text(F.col("attr_name")).alias("n"), F.col("value_type").alias("t"))
         .where("i is not null and n is not null and t is not null")
-        .groupBy("n")
-        .agg(F.min(F.struct("i", "t")).alias("s"))
-        .select("s.i", "n", "s.t")
         .limit(limit + 1)
         .collect()
     )
     if len(rows) > limit:
         raise ValueError(f"a catalogue of more than {limit} attributes can't become columns")
-    return sorted((r[0], r[1], r[2]) for r in rows)
+    first: dict[str, tuple[int, str]] = {}
+    for i, n, t in rows:
+        first[n] = min(first.get(n, (i, t)), (i, t))
+    return sorted((i, n, t) for n, (i, t) in first.items())
+
+
+def with_type(df: DataFrame, name: Column, attributes: list[tuple[int, str, str]]) -> DataFrame:
+    """Adds attr_id and value_type of the attribute that ``name`` denotes, null for none. The catalogue, bounded by its limit, is broadcast; only names that aren't in their one spelling are spelled anew."""
+    quoted = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    values = ", ".join(f"({quoted(n)}, {i}, {quoted(t)})" for i, n, t in attributes) or "(null, null, null)"
+    known = df.sparkSession.sql(f"SELECT CAST(n AS STRING) n, CAST(i AS INT) i, CAST(t AS STRING) t FROM VALUES {values} AS v(n, i, t)")
+    one = F.broadcast(known.select(F.col("n").alias("__n1"), F.col("i").alias("__i1"), F.col("t").alias("__t1")))
+    two = F.broadcast(known.select(F.col("n").alias("__n2"), F.col("i").alias("__i2"), F.col("t").alias("__t2")))
+    named = df.withColumn("__name", name).join(one, F.col("__name") == F.col("__n1"), "left").join(two, F.when(F.col("__i1").isNull(), hash_text(F.col("__name"))) == F.col("__n2"), "left")
+    return named.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("__i1", "__i2").alias("attr_id"), F.coalesce("__t1", "__t2").alias("value_type"))

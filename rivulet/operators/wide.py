@@ -1,11 +1,13 @@
 """Attribute-value rows into one typed row per entity.
 
-Rows are reduced to the deciding one per entity and attribute, written once as
-a table partitioned by attribute (the typed narrow tables), and joined again by
-a balanced tree of outer joins. Every narrow table hangs on a spine of all
-entities by a LEFT join, because a left join keeps the partitioning by entity
-whereas a FULL one loses it: each narrow table is shuffled once, whatever the
-depth of the tree, and no attribute or entity gathers in one task.
+Rows are reduced to the deciding one per entity and attribute (combined before
+the shuffle, so a busy entity is no one task's work) and written once as narrow
+tables: partitioned by blocks of attributes of one type, bucketed by entity. The
+narrow tables of a block are merged into its typed columns bucket by bucket, and
+the blocks meet in a balanced tree of outer joins. As all are bucketed alike,
+nothing is shuffled after the write. Each branch of the tree begins with a spine
+of all entities, so LEFT joins are enough: they keep the partitioning by
+entity, whereas a FULL one loses it.
 
 Nulls: a row without entity or moment is ignored; a null value is no value; a
 null deletion mark is no deletion. Repeated rows decide nothing twice. An
@@ -18,62 +20,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.functions.spellings import catalogue, hash_text, value_text
-from rivulet.shared import staged
+from rivulet.functions.spellings import catalogue, value_text, with_type
+from rivulet.shared import bucketed, partitions_for
 
 SQL_TYPES = {"integer": "decimal(38,0)", "real": "double", "boolean": "boolean", "hash": "string"}
 
 
 def statements(rows: DataFrame, attributes: list[tuple[int, str, str]]) -> DataFrame:
     """(c1, c0, arrival, attr_id, deleted, val); attr_id is null for a row that can't be used, val is spelled in the one way."""
-    if attributes:
-        known = F.create_map(*[F.lit(x) for i, n, t in attributes for x in (n, f"{i} {t}")])
-        found = F.split(F.try_element_at(known, hash_text(F.col("c2"))), " ")
-    else:
-        found = F.lit(None).cast("array<string>")
     deleted = F.coalesce(F.col("c4"), F.lit(0)) == 1
+    kept = rows.select("c0", "c1", "arrival", "c2", "c3", deleted.alias("deleted")).where("c0 is not null and c1 is not null")
+    typed = with_type(kept, F.col("c2"), attributes).withColumnRenamed("attr_id", "named")
     # inline keeps a later filter on attr_id from being pushed down, which would judge every value twice
-    return (
-        rows.select("c0", "c1", "arrival", "c3", deleted.alias("deleted"), found.alias("a"))
-        .where("c0 is not null and c1 is not null")
-        .select("c0", "c1", "arrival", "deleted", F.inline(F.array(F.struct(F.col("a")[0].cast("int").alias("named"), F.when(~F.col("deleted"), value_text(F.col("c3"), F.col("a")[1])).alias("val")))))
-        .select("c0", "c1", "arrival", "deleted", F.when(F.col("deleted") | F.col("val").isNotNull(), F.col("named")).alias("attr_id"), "val")
+    val = F.when(~F.col("deleted"), value_text(F.col("c3"), F.col("value_type")))
+    return typed.select("c0", "c1", "arrival", "deleted", F.inline(F.array(F.struct("named", val.alias("val"))))).select(
+        "c0", "c1", "arrival", "deleted", F.when(F.col("deleted") | F.col("val").isNotNull(), F.col("named")).alias("attr_id"), "val"
     )
 
 
-def narrow_tables(rows: DataFrame, attributes: list[tuple[int, str, str]]) -> DataFrame:
-    """The deciding statement of each entity and attribute, as a table partitioned by attribute; attr_id null lists further entities."""
+def narrow_tables(rows: DataFrame, attributes: list[tuple[int, str, str]], block: dict[int, int]) -> DataFrame:
+    """The deciding statement of each entity and attribute, as a table partitioned by the attributes' blocks and bucketed by entity; block null lists further entities."""
     latest = (
         statements(rows, attributes)
         .groupBy("c1", "attr_id")
         .agg(F.max(F.struct("c0", "arrival", "deleted", "val")).alias("s"))
-        .select("c1", F.when(F.col("attr_id").isNotNull() & ~F.col("s.deleted"), F.col("s.val")).alias("val"), "attr_id")
+        .select("c1", "attr_id", F.when(F.col("attr_id").isNotNull() & ~F.col("s.deleted"), F.col("s.val")).alias("val"))
     )
-    # an attribute is written by an eighth of the tasks, however large it is, and a task writes to an eighth of the attributes or so
-    salts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
-    return staged(latest.repartition(F.col("attr_id"), F.pmod(F.xxhash64("c1"), F.lit(salts))), "narrow", ("attr_id",))
+    of = F.try_element_at(F.create_map(*[F.lit(x) for kv in block.items() for x in kv]), "attr_id") if block else F.lit(None)
+    placed = latest.withColumn("block", F.when(F.col("val").isNotNull(), of).cast("int"))
+    return bucketed(placed, "narrow", "c1", partitions_for(rows), ("block",))
 
 
-def _tree(parts: list[DataFrame]) -> DataFrame:
-    if len(parts) == 1:
-        return parts[0]
-    half = len(parts) // 2
-    return _tree(parts[:half]).join(_tree(parts[half:]), "c1", "left")
+def _tree(spine: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """Every branch begins with the spine, so that no entity is lost."""
+    if len(parts) > 4:
+        half = len(parts) // 2
+        parts, spine = [_tree(spine, parts[half:])], _tree(spine, parts[:half])
+    for one in parts:
+        # a bucket has one row an entity, so hash tables of a bucket are small and even
+        spine = spine.join(one.hint("shuffle_hash"), "c1", "left")
+    return spine
 
 
-def wide_table(rows: DataFrame, attribute_types: DataFrame, fan_in: int = 8) -> DataFrame:
-    """One row per machine c1; column a<attr_id> of the attribute's type. fan_in: narrow tables on one branch of the tree."""
+def wide_table(rows: DataFrame, attribute_types: DataFrame | list, fan_in: int = 8) -> DataFrame:
+    """One row per machine c1; column a<attr_id> of the attribute's type. fan_in: attributes of one type in a block, more where there are over 64 blocks."""
     attributes = catalogue(attribute_types)
-    narrow = narrow_tables(rows, attributes)
-    spine = narrow.select("c1").distinct()
-    branches = []
-    for k in range(0, len(attributes), fan_in):
-        branch = spine
-        for i, _, t in attributes[k : k + fan_in]:
-            one = narrow.where((F.col("attr_id") == i) & F.col("val").isNotNull()).select("c1", F.col("val").cast(SQL_TYPES.get(t, "string")).alias(f"a{i}"))
-            branch = branch.join(one, "c1", "left")
-        branches.append(branch)
-    return _tree(branches or [spine])
+    fan_in = max(fan_in, -(-len(attributes) // 64))
+    blocks: list[list[tuple[int, str, str]]] = []
+    for kind in sorted({t for _, _, t in attributes}):
+        alike = [a for a in attributes if a[2] == kind]
+        blocks += [alike[k : k + fan_in] for k in range(0, len(alike), fan_in)]
+    narrow = narrow_tables(rows, attributes, {i: k for k, some in enumerate(blocks) for i, _, _ in some})
+
+    def merged(k: int) -> DataFrame:
+        typed = [F.max(F.when(F.col("attr_id") == i, F.col("val")).cast(SQL_TYPES.get(t, "string"))).alias(f"a{i}") for i, _, t in blocks[k]]
+        return narrow.where(F.col("block") == k).groupBy("c1").agg(*typed)
+
+    wide = _tree(narrow.select("c1").distinct(), [merged(k) for k in range(len(blocks))])
+    return wide.select("c1", *[f"a{i}" for i, _, _ in attributes])
 
 
 def cell_text(c: Column, value_type: str) -> Column:

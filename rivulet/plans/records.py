@@ -11,15 +11,14 @@ from rivulet.shared import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    types = table(spark, d, "attribute_types")
-    return wide.cells(wide.wide_table(table(spark, d, "machine_attributes"), types), catalogue(types))
+    known = catalogue(table(spark, d, "attribute_types"))
+    return wide.cells(wide.wide_table(table(spark, d, "machine_attributes"), known), known)
 
 
 def p1_filled(spark: SparkSession, d: str) -> DataFrame:
     """How many attributes of each type every machine has."""
-    types = table(spark, d, "attribute_types")
-    known = catalogue(types)
-    w = wide.wide_table(table(spark, d, "machine_attributes"), types)
+    known = catalogue(table(spark, d, "attribute_types"))
+    w = wide.wide_table(table(spark, d, "machine_attributes"), known)
     count = lambda kind: sum((F.col(f"a{i}").isNotNull().cast("int") for i, _, t in known if t == kind), F.lit(0))
     return w.select("c1", *[count(k).cast("bigint").alias(f"n_{k}") for k in wide.SQL_TYPES])
 

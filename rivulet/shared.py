@@ -6,6 +6,7 @@ never by keeping blocks on executors, so a lost executor costs a re-read only.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -16,15 +17,21 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a local one is made only where it is unset (tests, single machine)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The session's ``spark.checkpoint.dir``; one is made only where it is unset and all runs on this machine, elsewhere that is an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="rivulet-")
+        if not _is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="rivulet-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+def _is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def passing_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder for what this session needs only while it runs; it is removed when the session's JVM ends."""
     path = f"{shared_dir(spark)}/rivulet/{label}-{uuid.uuid4().hex}"
@@ -39,7 +46,7 @@ _shipped: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors of a cluster, for the Python workers of operators that need it there."""
     sc = spark.sparkContext
-    if sc.master.split("[")[0] == "local" or sc.applicationId in _shipped:
+    if _is_local(spark) or sc.applicationId in _shipped:
         return
     here = os.path.dirname(os.path.abspath(__file__))
     path = os.path.join(tempfile.mkdtemp(prefix="rivulet-"), "rivulet.zip")  # on the driver, which serves it
@@ -63,6 +70,37 @@ def staged(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Dat
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, key: str, buckets: int, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Writes ``df`` once, one file for each bucket of ``key`` and partition, and reads it back: joins and groupings by ``key`` of any parts of it need no further shuffle."""
+    spark = df.sparkSession
+    path, name = passing_path(spark, label), f"spark_catalog.default.rivulet_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).option("path", path)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.saveAsTable(name)
+    atexit.register(_forget, spark, name)
+    return spark.table(name)
+
+
+def _forget(spark: SparkSession, name: str) -> None:
+    """Takes the entry out of a catalogue that outlives the session."""
+    try:
+        if spark.conf.get("spark.sql.catalogImplementation") != "in-memory":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # noqa: BLE001 - the session has ended, and its catalogue with it
+        pass
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def partitions_for(df: DataFrame, bytes_each: int = 128 << 20) -> int:
+    """The session's number of shuffle partitions, more if the estimated size of ``df`` calls for it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(shuffle_partitions(df.sparkSession), min(100_000, -(-size // bytes_each)))
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint only when a count proves the bound; otherwise the optimizer's shuffle join is left alone."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
