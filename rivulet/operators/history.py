@@ -6,18 +6,23 @@ the next satellite row, computed in a view. Satellites are kept apart by change
 rate: the table is partitioned by attribute and each satellite is a set of its
 partitions, so fast ones don't rewrite or slow down the slow ones.
 
-An entity may hold a large share of all rows. The time of those that hold more
-than a hundredth (a hundred at most, whatever the data) is cut into slices of
-about equal row counts; a window covers one entity, attribute and slice, and
-what crosses a slice's edge is carried by one summary row per slice. All other
-entities are one slice.
+An entity may hold a large share of all rows. Every entity with more rows than
+one in ``slices`` of the log (by default eight for each shuffle partition) is
+cut at quantiles of its own moments into slices of about so many rows; a window
+covers one entity, attribute and slice. The first row of a slice is kept until
+it is compared with the last of the slices before. There are fewer such
+entities than ``slices``, and fewer cuts than four times as many, so these are
+broadcast. Rows reach their window by one shuffle, on attribute and a salt of
+entity and slice; an attribute has as many salts as the log has rows of it over
+rows a slice, so tasks are even and the files of the table no more than salts.
 
 The hash-diff is 64 bits wide; only neighbouring states of one attribute are
 ever compared by it.
 
 Nulls: rows without entity or moment are ignored, a null value is no value.
 Rows received twice and the same value stated again change nothing; of several
-rows of one moment the last received counts. Empty input gives no versions.
+rows of one moment the last received counts. Rows of one moment aren't cut
+apart. Empty input gives no versions.
 """
 
 from __future__ import annotations
@@ -26,70 +31,100 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rivulet.functions.spellings import catalogue
+from rivulet.functions.spellings import catalogue, with_type
 from rivulet.operators.wide import statements
-from rivulet.shared import staged
+from rivulet.shared import shuffle_partitions, staged
 
 KEY = ("c1", "attr_id")
-
-
-HOT = 100  # entities of more than 1/HOT of all rows are sliced
+Catalogue = list[tuple[int, str, str]]
 
 
 class Slices:
-    """The hot entities, at most HOT, and the moments that cut their rows into slices of about equal size."""
+    """The entities with more than one in ``number`` rows, and the moments that cut each into slices of about that size."""
 
-    def __init__(self, rows: DataFrame, number: int = 16):
+    def __init__(self, rows: DataFrame, number: int):
+        keyed = rows.where("c1 is not null and c0 is not null").select("c1", "c0")
+        counts = keyed.groupBy("c1").agg(F.count(F.lit(1)).alias("n"))
         total = rows.count()
-        self.hot = [r[0] for r in rows.where("c1 is not null").groupBy("c1").count().where(F.col("count") * HOT > total).select("c1").collect()]
-        cuts = rows.where(F.col("c1").isin(self.hot)).agg(F.percentile_approx("c0", [k / number for k in range(1, number)], 1000)).first()[0] if self.hot else None
-        self.bounds = sorted(set(cuts or []))
-
-    def of(self, at: Column) -> Column:
-        if not self.bounds:
-            return F.lit(0)
-        return F.when(F.col("c1").isin(self.hot), F.size(F.filter(F.array(*[F.lit(b) for b in self.bounds]), lambda b: b < at))).otherwise(0)
-
-    def only(self, df: DataFrame) -> DataFrame:
-        """The rows of hot entities."""
-        return df.where(F.col("c1").isin(self.hot)) if self.bounds else df.where("false")
+        self.rows = max(1, -(-total // number))
+        hot = counts.where(F.col("n") > self.rows).select(F.col("c1").alias("__c1"), F.ceil(F.log2(F.col("n") / self.rows)).cast("int").alias("__level"))
+        found = hot.collect()  # fewer than ``number``
+        self.cuts = None
+        if found:
+            spark = rows.sparkSession
+            hot = F.broadcast(spark.createDataFrame([tuple(r) for r in found], "__c1 bigint, __level int"))
+            # a percentile_approx has the same shares for all groups: one for each power of two, of which an entity fills one
+            at = lambda k: F.percentile_approx(F.when(F.col("__level") == k, F.col("c0")), [i / 2**k for i in range(1, 2**k)], 10 * 2**k)
+            cuts = keyed.join(hot, F.col("c1") == F.col("__c1")).groupBy("__c1").agg(F.coalesce(*[at(k) for k in sorted({r[1] for r in found})]).alias("__cuts"))
+            self.cuts = F.broadcast(cuts.select("__c1", F.array_distinct("__cuts").alias("__cuts")))
+            self.steps = [2**k for k in range(max(r[1] for r in found), -1, -1)]
+
+    def added(self, df: DataFrame) -> DataFrame:
+        """With ``slice``: the number of cuts of the entity before c0 (by binary search), 0 for all others."""
+        if self.cuts is None:
+            return df.withColumn("slice", F.lit(0))
+        cuts = F.col("__cuts")
+        further = lambda at, step: F.when((at + step <= F.size(cuts)) & (F.try_element_at(cuts, at + step) < F.col("c0")), at + step).otherwise(at)
+        place = F.aggregate(F.array(*[F.lit(s) for s in self.steps]), F.lit(0), further)
+        return df.join(self.cuts, F.col("c1") == F.col("__c1"), "left").withColumn("slice", F.when(cuts.isNotNull(), place).otherwise(0)).drop("__c1", "__cuts")
+
+
+def _salts(rows: DataFrame, attributes: Catalogue, rows_each: int) -> Column:
+    """As many salts for each attribute as its rows fill tasks."""
+    counted = with_type(rows.groupBy("c2").count(), F.col("c2"), attributes).where("attr_id is not null").groupBy("attr_id").agg(F.sum("count"))
+    known = [F.lit(x) for i, n in counted.collect() for x in (i, max(1, -(-n // rows_each)))]  # one row an attribute of the catalogue
+    return F.coalesce(F.try_element_at(F.create_map(*known), F.col("attr_id")), F.lit(1)) if known else F.lit(1)
+
+
+def _candidates(rows: DataFrame, attributes: Catalogue, slices: int | None) -> tuple[DataFrame, bool]:
+    """Satellite rows, and ``opens`` for the first of each slice, which may repeat the state before; whether there are slices."""
+    cut = Slices(rows, slices or 8 * shuffle_partitions(rows.sparkSession))
+    stated = cut.added(statements(rows, attributes).where("attr_id is not null")).withColumn("__salt", F.pmod(F.xxhash64("c1", "slice"), _salts(rows, attributes, cut.rows)))
+    group = W.partitionBy("attr_id", "__salt", "c1", "slice").orderBy("c0", "arrival")
+    last = (
+        stated.repartition("attr_id", "__salt")
+        .withColumn("__next", F.lead("c0").over(group))
+        .where("__next is null or __next <> c0")
+        .withColumn("hash_diff", F.when(F.col("val").isNotNull(), F.xxhash64("val")))
+    )
+    seen = last.withColumn("opens", F.row_number().over(group) == 1).withColumn("__before", F.lag("hash_diff").over(group))
+    # a first row that deletes is kept too while slices may precede it
+    kept = ~F.col("hash_diff").eqNullSafe(F.col("__before")) if cut.cuts is None else F.col("opens") | ~F.col("hash_diff").eqNullSafe(F.col("__before"))
+    return seen.where(kept).select("c1", F.col("c0").alias("valid_from"), "slice", "val", "hash_diff", "opens", "attr_id"), cut.cuts is not None
+
+
+def _settled(candidates: DataFrame, sliced: bool) -> DataFrame:
+    """Without the first rows of slices that repeat the state before."""
+    if not sliced:
+        return candidates.drop("opens")
+    cut = candidates.join(F.broadcast(candidates.where("slice > 0").select("c1").distinct()), "c1", "left_semi")  # entities that are cut, fewer than slices
+    ends = cut.groupBy(*KEY, "slice").agg(F.max(F.struct("valid_from", "hash_diff")).alias("end"))
+    carried = ends.select(*KEY, "slice", F.lag("end.hash_diff").over(W.partitionBy(*KEY).orderBy("slice")).alias("carried")).where("carried is not null")
+    joined = candidates.join(carried, [*KEY, "slice"], "left")
+    return joined.where(~(F.col("opens") & F.col("hash_diff").eqNullSafe(F.col("carried")))).select("c1", "valid_from", "slice", "val", "hash_diff", "attr_id")
 
 
-def changes(rows: DataFrame, attribute_types: DataFrame, slices: int = 16) -> DataFrame:
+def changes(rows: DataFrame, attribute_types: DataFrame | Catalogue, slices: int | None = None) -> DataFrame:
     """Satellite rows (c1, valid_from, slice, val, hash_diff, attr_id): one for each change of an attribute, hash_diff null for a deletion."""
-    cut = Slices(rows, slices)
-
-    def states(log: DataFrame) -> DataFrame:
-        return (
-            statements(log, catalogue(attribute_types))
-            .where("attr_id is not null")
-            .groupBy(*KEY, "c0")
-            .agg(F.max(F.struct("arrival", "deleted", "val")).alias("s"))
-            .select(*KEY, "c0", F.when(~F.col("s.deleted"), F.col("s.val")).alias("val"), cut.of(F.col("c0")).alias("slice"))
-            .withColumn("hash_diff", F.when(F.col("val").isNotNull(), F.xxhash64("val")))
-        )
-
-    within = W.partitionBy(*KEY, "slice").orderBy("c0")
-    inside = states(rows).select("*", F.lag("hash_diff").over(within).alias("before"), F.row_number().over(within).alias("rn"))
-    ends = states(cut.only(rows)).groupBy(*KEY, "slice").agg(F.max(F.struct("c0", "hash_diff")).alias("end"))
-    carried = ends.select(*KEY, "slice", F.lag("end.hash_diff").over(W.partitionBy(*KEY).orderBy("slice")).alias("carried")).where("carried is not null")
-    before = F.when(F.col("rn") == 1, F.col("carried")).otherwise(F.col("before"))
-    return inside.join(carried, [*KEY, "slice"], "left").where(~F.col("hash_diff").eqNullSafe(before)).select("c1", F.col("c0").alias("valid_from"), "slice", "val", "hash_diff", "attr_id")
+    candidates, sliced = _candidates(rows, catalogue(attribute_types), slices)
+    return _settled(staged(candidates, "candidates") if sliced else candidates, sliced)
 
 
-def satellites(rows: DataFrame, attribute_types: DataFrame, fast_rate: float = 4.0, slices: int = 16) -> dict[str, DataFrame]:
+def satellites(rows: DataFrame, attribute_types: DataFrame | Catalogue, fast_rate: float = 4.0, slices: int | None = None) -> dict[str, DataFrame]:
     """The satellites ``fast`` and ``slow``; fast ones hold the attributes of more than fast_rate changes an entity."""
-    table = staged(changes(rows, attribute_types, slices), "satellite", ("attr_id",))
+    candidates, sliced = _candidates(rows, catalogue(attribute_types), slices)
+    table = staged(candidates, "satellite", ("attr_id",))
     rates = table.groupBy("attr_id").agg((F.count("*") / F.approx_count_distinct("c1")).alias("rate"))
     fast = [r[0] for r in rates.where(F.col("rate") > fast_rate).select("attr_id").collect()]  # a part of the catalogue
-    return {"fast": table.where(F.col("attr_id").isin(fast)), "slow": table.where(~F.col("attr_id").isin(fast))}
+    return {name: _settled(table.where(kept), sliced) for name, kept in (("fast", F.col("attr_id").isin(fast)), ("slow", ~F.col("attr_id").isin(fast)))}
 
 
 def versions(satellite: DataFrame) -> DataFrame:
     """The view (c1, attr_id, val, valid_from, valid_to): valid_to is the next row's valid_from, -1 if there is none; deletions have no row."""
     within = W.partitionBy(*KEY, "slice").orderBy("valid_from")
     inside = satellite.select("*", F.lead("valid_from").over(within).alias("next"))
-    starts = satellite.join(satellite.where("slice > 0").select("c1").distinct(), "c1", "left_semi").groupBy(*KEY, "slice").agg(F.min("valid_from").alias("start"))
+    cut = F.broadcast(satellite.where("slice > 0").select("c1").distinct())  # fewer entities than there are slices
+    starts = satellite.join(cut, "c1", "left_semi").groupBy(*KEY, "slice").agg(F.min("valid_from").alias("start"))
     carried = starts.select(*KEY, "slice", F.lead("start").over(W.partitionBy(*KEY).orderBy("slice")).alias("carried")).where("carried is not null")
     return (
         inside.where("hash_diff is not null")
@@ -105,14 +140,14 @@ def appended(satellite: DataFrame, batch: DataFrame, attribute_types: DataFrame)
     touches; late rows call for the satellite of that attribute to be built anew
     from the log, since a state that was not appended can't be told from none.
     """
-    last = satellite.groupBy(*KEY).agg(F.max(F.struct("valid_from", "hash_diff")).alias("last")).select(*KEY, F.col("last.hash_diff").alias("held"))
+    last = satellite.groupBy(*KEY).agg(F.max(F.struct("valid_from", "hash_diff")).alias("last"), F.max("slice").alias("reached")).select(*KEY, F.col("last.hash_diff").alias("held"), "reached")
     new = changes(batch, attribute_types)
     # a batch that opens with a deletion adds a row only if a value is in force, so deletions are put back before comparing
     opening = (
         statements(batch, catalogue(attribute_types)).where("attr_id is not null").groupBy(*KEY).agg(F.min(F.struct("c0", F.negate("arrival").alias("a"), "deleted")).alias("o"))
         .where("o.deleted").select(*KEY, F.col("o.c0").alias("valid_from"))
     )
-    gone = opening.join(last.where("held is not null"), list(KEY), "left_semi").select("c1", "valid_from", F.lit(0).alias("slice"), F.lit(None).cast("string").alias("val"), F.lit(None).cast("bigint").alias("hash_diff"), "attr_id")
+    gone = opening.join(last.where("held is not null"), list(KEY), "left_semi").join(last, list(KEY)).select("c1", "valid_from", F.col("reached").alias("slice"), F.lit(None).cast("string").alias("val"), F.lit(None).cast("bigint").alias("hash_diff"), "attr_id")
     first = W.partitionBy(*KEY).orderBy("valid_from")
     fresh = new.withColumn("rn", F.row_number().over(first)).join(last, list(KEY), "left").join(opening.select(*KEY, F.lit(True).alias("reopened")), list(KEY), "left")
-    return fresh.where((F.col("rn") > 1) | F.col("reopened").isNotNull() | ~F.col("hash_diff").eqNullSafe(F.col("held"))).select("c1", "valid_from", "slice", "val", "hash_diff", "attr_id").unionByName(gone)
+    return fresh.where((F.col("rn") > 1) | F.col("reopened").isNotNull() | ~F.col("hash_diff").eqNullSafe(F.col("held"))).select("c1", "valid_from", (F.col("slice") + F.coalesce("reached", F.lit(0))).alias("slice"), "val", "hash_diff", "attr_id").unionByName(gone)

@@ -109,6 +109,38 @@ def test_history_append(spark):
     assert [(r.valid_from, r.hash_diff) for r in gone.collect()] == [(7, None)]
 
 
+def test_history_of_hot_entities_is_even_work(spark):
+    """One entity with 60 % of the rows, one with 0.9 %: no task has over twice the median, and there are few files."""
+    rng = random.Random(7)
+    n = 20000
+    machine = lambda k: 1 if k % 1000 < 600 else 2 if k % 1000 < 609 else rng.randrange(10, 3000)
+    rows = [(k * k // 50, machine(k), NAMES[1 + k % 4], "1" if k % 4 < 3 else NAMES[1], 0, k) for k in range(n)]
+    kept = log(spark, rows)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        cut = history.Slices(kept, 8 * 4)
+        stated = cut.added(history.statements(kept, S.catalogue(types(spark))))
+        salt = F.pmod(F.xxhash64("c1", "slice"), history._salts(kept, S.catalogue(types(spark)), cut.rows))
+        sizes = sorted(r[1] for r in stated.repartition("attr_id", salt).groupBy(F.spark_partition_id()).count().collect())
+        assert sum(sizes) == n and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+        per_slice = stated.where("c1 = 1").groupBy("slice").count().agg(F.max("count"), F.count("*")).first()
+        assert per_slice[0] <= 2 * cut.rows and per_slice[1] >= 16
+        assert stated.where("c1 = 2").select("slice").distinct().count() == 1  # 180 rows, less than a slice
+        sats = history.satellites(kept, types(spark))
+        files = {f for s in sats.values() for f in s.inputFiles()}
+        assert len(files) <= 4 * (8 + 1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_history_append_to_slices(spark):
+    first = [(k, 1, NAMES[1], str(k // 7 % 3), 0, k) for k in range(400)]
+    later = [(k, 1, NAMES[1], str(k // 5 % 3), int(k % 50 == 0), k) for k in range(400, 700)]
+    sat = history.changes(log(spark, first), types(spark), slices=8)
+    both = sat.unionByName(history.appended(sat, log(spark, later), types(spark)))
+    assert sorted(map(tuple, history.versions(both).select("c1", "attr_id", "valid_from", "valid_to").collect())) == brute_history(first + later)
+
+
 RAW = "rec_id bigint, feed string, line string"
 ORDER = '5|7|O|10.50|1996-02-29|A|Desk|0|"a | ""b"" \n c"|'
 
