@@ -2,7 +2,7 @@
 
 A row is loaded only if it conforms; the loaded records' offsets are subtracted
 from the raw ones by an anti-join, and only the remainder is diagnosed. A record
-is known by its rec_id (compared null-safe) and a 64-bit digest of its line, so
+is known by its rec_id (compared null-safe) and a 64-bit digest of its line and feed, so
 a repeated or null rec_id loses nothing.
 
 Quoting is judged by cutting the line at the double quotes: outside pieces have
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.functions.spellings import catalogue, hash_text, let, value_text
+from rivulet.functions.spellings import catalogue, let, value_text, with_type
 from rivulet.operators.wide import SQL_TYPES
 from rivulet.shared import staged
 
@@ -69,7 +69,7 @@ def _cut(raw: DataFrame) -> DataFrame:
     def judged(pieces: Column) -> Column:
         return let(F.struct(well_quoted(pieces).alias("quoted"), pieces.alias("pieces")), lambda s: F.struct(s["quoted"].alias("quoted"), F.when(s["quoted"], fields(s["pieces"])).alias("f")))
 
-    return raw.select("rec_id", "feed", line.alias("line"), F.xxhash64(line).alias("d"), _delimiter().alias("delim")).select("*", F.inline(F.array(let(F.split("line", '"'), judged))))
+    return raw.select("rec_id", "feed", line.alias("line"), F.xxhash64(line, "feed").alias("d"), _delimiter().alias("delim")).select("*", F.inline(F.array(let(F.split("line", '"'), judged))))
 
 
 def _counted(feed: str) -> Column:
@@ -79,12 +79,12 @@ def _counted(feed: str) -> Column:
     return (F.size("f") == len(fields) + 1) & (F.element_at("f", -1) == "")
 
 
-def _valued(feed: str, types: Column) -> Column:
+def _valued(feed: str) -> Column:
     ok = F.lit(True)
     for i, (name, kind) in enumerate(FEEDS[feed][1]):
         x = F.get("f", F.lit(i))
         if name == "c3":
-            ok = ok & ((x == "") | value_text(x, F.try_element_at(types, hash_text(F.get("f", F.lit(2))))).isNotNull())
+            ok = ok & ((x == "") | value_text(F.col("value"), F.col("value_type")).isNotNull())
             continue
         if name == "c4":
             ok = ok & x.isin("0", "1")
@@ -95,42 +95,48 @@ def _valued(feed: str, types: Column) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def _types(attribute_types: DataFrame) -> Column:
-    known = catalogue(attribute_types)
-    return F.create_map(*[F.lit(x) for _, n, t in known for x in (n, t)]) if known else F.create_map(F.lit(""), F.lit(""))
+def _typed(cut: DataFrame, attributes: list[tuple[int, str, str]]) -> DataFrame:
+    """Adds value (c3, where the feed has it) and value_type."""
+    named = cut.withColumn("value", F.when(F.col("feed") == "machine_attributes", F.get("f", F.lit(3))))
+    return with_type(named, F.when(F.col("feed") == "machine_attributes", F.get("f", F.lit(2))), attributes)
 
 
-def load(raw: DataFrame, feed: str, attribute_types: DataFrame) -> DataFrame:
-    """The conforming rows of one feed, typed, with the record's offset (rec_id, d) and the feed's columns."""
-    return _loaded(raw, feed, _types(attribute_types))
+def _conforms(feed: str) -> Column:
+    return F.col("quoted") & F.coalesce(_counted(feed), F.lit(False)) & _valued(feed)
 
 
-def _loaded(raw: DataFrame, feed: str, types: Column) -> DataFrame:
-    ok = F.col("quoted") & F.coalesce(_counted(feed), F.lit(False)) & _valued(feed, types)
+def load(raw: DataFrame, feed: str, attribute_types: DataFrame | list) -> DataFrame:
+    """The conforming rows of one feed, typed, with the record's offset (rec_id, d) and the feed's columns."""
+    cut = _typed(_cut(raw.where(F.col("feed") == feed)), catalogue(attribute_types))
     cols = [F.nullif(F.get("f", F.lit(i)), F.lit("")).try_cast(kind).alias(name) for i, (name, kind) in enumerate(FEEDS[feed][1])]
-    return _cut(raw.where(F.col("feed") == feed)).where(ok).select("rec_id", "d", *cols)
+    return cut.where(_conforms(feed)).select("rec_id", "d", *cols)
 
 
-def with_values(loaded: DataFrame, attribute_types: DataFrame) -> DataFrame:
+def with_values(loaded: DataFrame, attribute_types: DataFrame | list) -> DataFrame:
     """Rows of machine_attributes with c3 in a column of its attribute's type, c3_integer, c3_real, c3_boolean or c3_hash; an empty c3 is in none."""
-    kind = F.try_element_at(_types(attribute_types), hash_text(F.col("c2")))
-    valued = loaded.withColumn("__kind", kind).withColumn("__value", value_text(F.col("c3"), F.col("__kind")))
-    return valued.select(*loaded.columns, *[F.when(F.col("__kind") == k, F.col("__value").try_cast(t)).alias(f"c3_{k}") for k, t in SQL_TYPES.items()])
+    typed = with_type(loaded, F.col("c2"), catalogue(attribute_types)).withColumn("__value", value_text(F.col("c3"), F.col("value_type")))
+    return typed.select(*loaded.columns, *[F.when(F.col("value_type") == k, F.col("__value").try_cast(t)).alias(f"c3_{k}") for k, t in SQL_TYPES.items()])
+
 
+def rejected(raw: DataFrame, attribute_types: DataFrame | list) -> DataFrame:
+    """(rec_id, reason, feed, line) of the records that weren't loaded.
 
-def rejected(raw: DataFrame, attribute_types: DataFrame) -> DataFrame:
-    """(rec_id, reason, feed, line) of the records that weren't loaded."""
-    types = _types(attribute_types)
-    loaded = None
+    The raw text is read and cut once: the offsets of all records are written
+    with the mark of those that a load would take, and with the line of the
+    others. The marked offsets are subtracted from all; what remains is diagnosed.
+    """
+    attributes = catalogue(attribute_types)
+    conforms = F.lit(False)
     for feed in FEEDS:
-        part = _loaded(raw, feed, types).select("rec_id", "d")
-        loaded = part if loaded is None else loaded.unionByName(part)
-    offsets = raw.select("rec_id", "feed", "line", F.xxhash64(F.coalesce("line", F.lit(""))).alias("d")).alias("r")
-    rest = offsets.join(loaded.alias("l"), F.col("r.rec_id").eqNullSafe(F.col("l.rec_id")) & (F.col("r.d") == F.col("l.d")), "left_anti")
+        conforms = F.when(F.col("feed") == feed, _conforms(feed)).otherwise(conforms)
+    # inline keeps the judgement from being made anew for the mark and for the line
+    judged = _typed(_cut(raw), attributes).select("rec_id", "d", "feed", "line", F.inline(F.array(F.struct(conforms.alias("loaded")))))
+    offsets = staged(judged.select("rec_id", "d", "loaded", F.when(~F.col("loaded"), F.col("feed")).alias("feed"), F.when(~F.col("loaded"), F.col("line")).alias("line")), "offsets")
+    loaded = offsets.where("loaded").select(F.col("rec_id").alias("__rec_id"), F.col("d").alias("__d"))
+    rest = offsets.join(loaded, F.col("rec_id").eqNullSafe(F.col("__rec_id")) & (F.col("d") == F.col("__d")), "left_anti")
     reason = F.when(~F.coalesce(F.col("feed").isin(*FEEDS), F.lit(False)), "unknown_feed").when(~F.col("quoted"), "quoting")
     for feed in FEEDS:
         reason = reason.when((F.col("feed") == feed) & ~_counted(feed), "column_count")
     for feed in FEEDS:
-        reason = reason.when((F.col("feed") == feed) & ~_valued(feed, types), "bad_value")
-    # written apart: else the diagnosis would be pushed below the anti-join and run over the loaded rows too
-    return _cut(staged(rest, "remainder")).select("rec_id", reason.alias("reason"), "feed", "line")
+        reason = reason.when((F.col("feed") == feed) & ~_valued(feed), "bad_value")
+    return _typed(_cut(rest.select("rec_id", "feed", "line")), attributes).select("rec_id", reason.alias("reason"), "feed", "line")
