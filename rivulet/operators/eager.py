@@ -18,6 +18,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.shared import staged
+
 
 def compact(df: DataFrame, key: Mapping[str, Column], group: Mapping[str, Column] | None = None, sums: Mapping[str, Column] | None = None, n: str = "n") -> DataFrame:
     """One row per key (and group): the count n and the sums."""
@@ -38,13 +40,19 @@ def join_states(left: DataFrame, right: DataFrame, on: Sequence[str], group: Seq
 def heavy_keys(fields: Sequence[tuple[str, str, DataFrame]], share: int = 20) -> DataFrame:
     """(tab, field, heavy_key): values that hold at least 1/share of all rows of their table. fields: table name, column name, table.
 
-    Each field is reduced to a state per value and, rolled up once more, to one
-    state per field; the two are joined on the field and compared.
+    A value's share of its table is its share of the pairs that the table's
+    rows make with all rows of the table. That join is done eagerly: one input
+    is reduced to a state per value, the other to a state per table (rolled up
+    from the same, as both are one table, which is read once), the states are
+    joined by table, and the counts multiplied.
     """
     states = None
     for tab, field, df in fields:
         one = compact(df, {"tab": F.lit(tab), "field": F.lit(field)}, {"heavy_key": F.col(field).cast("string")}, n="ln")
         states = one if states is None else states.unionByName(one)
-    totals = states.groupBy("tab", "field").agg(F.sum("ln").alias("rn"))
-    # one row for each field given: small by construction, and joining on so few keys would gather each field in one task
-    return states.where("heavy_key is not null").join(F.broadcast(totals), ["tab", "field"]).where(F.col("ln") * share >= F.col("rn")).select("tab", "field", "heavy_key")
+    states = staged(states, "states")
+    whole = states.groupBy("tab", "field").agg(F.sum("ln").alias("rn"))  # a row for each field given, so it is broadcast: by shuffle each field would gather in one task
+    wide = lambda c: F.col(c).cast("decimal(19,0)")  # noqa: E731 - pairs of rows outgrow 64 bits
+    joined = states.where("heavy_key is not null").join(F.broadcast(whole), ["tab", "field"])
+    pairs = joined.withColumn("pairs", wide("ln") * wide("rn")).where(F.col("pairs") * share >= wide("rn") * wide("rn"))
+    return pairs.groupBy("tab", "field", "heavy_key").agg(F.sum("pairs").alias("pairs")).select("tab", "field", "heavy_key")
