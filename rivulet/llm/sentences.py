@@ -2,37 +2,48 @@
 
 Method: marks that end nothing (in numbers, list numbers, dates, initials,
 abbreviations, addresses, file names, and in quotations that are part of a
-longer sentence) are masked with a private-use placeholder of the same length;
-a boundary is put after each sentence mark that is left, with the quotes and
-brackets that close there, after each line break, and in Thai after blanks;
-the pieces between boundaries, less the blanks around, are the units. As every
-placeholder is one code point, the original text is restored by position.
+longer sentence) are masked, each kind by a private-use placeholder of its own
+and of the same length; a boundary is put after each sentence mark that is left,
+with the quotes and brackets that close there, after each line break, and in
+Thai after blanks; the pieces between boundaries, their marks restored, less the
+blanks around, are the units.
+
+Rules are given for English, German, French, Spanish, Russian, Greek, Arabic,
+Hindi, Chinese, Japanese and Thai; other languages get the marks of their
+script and the general rules for numbers, initials and quotations. Private-use
+characters of the text that are placeholders here come back as �.
 
 UTF-8 that was read as Windows-1252 is judged as the text that was meant; its
 units have the positions of the garbled text, in which every byte is one code
 point.
 
 A null or empty text has no units, nor has one of blanks only. Repeated rows
-give repeated units. Very long texts are worked through in slices, in time
-proportional to their length. Extra columns are ignored.
+give repeated units. Very long texts and lines are worked through in time
+proportional to their length: quotations are judged once each, and no text is
+walked through from its start for a unit. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MASK, CUT = "", ""
+CUT, FLAG = "\ue0ff", "\ue0fe"
 BLANKS = " \t\r\n\x0b\x0c\x85\xa0            ​    　﻿"
 GAP = r"[ \t\x{a0}\x{202f}]"
 MARKS = r".!?…。！？｡؟।॥۔‼⁇⁈⁉։።။។།"
+#: Each mark's placeholder, and the characters that stand for the two Greek question marks.
+PLACE = {m: chr(0xE000 + k) for k, m in enumerate(MARKS)}
+GREEK = {";": "\ue0f0", "\u037e": "\ue0f1"}
+HELD = "".join(PLACE.values()) + "".join(GREEK.values()) + FLAG + CUT
+MARKS += "".join(GREEK.values())
 #: One of them; the range that comes first turns letters of European scripts away at once.
 MARK = rf"[[.!?\x{{589}}-\x{{ff61}}]&&[{MARKS}]]"
-#: No quotation mark (“ to „, 「 to 』, « and ») and no line break.
-UNQUOTED = r"[^\n«»\x{201c}-\x{201e}\x{300c}-\x{300f}]"
+#: What parts quoted text from the text around.
+QUOTES = "\n«»“”„「」『』"
 #: What an abbreviation or initial can't follow directly; it can follow a character of a script without spaces.
 INSIDE = r"[[\p{L}\p{M}\p{N}]&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]"
 
@@ -48,7 +59,7 @@ TITLES = (
 #: Abbreviations that end no sentence before a number.
 BEFORE_NUMBER = (
     "No Nos no nos Fig Figs fig p P pp S Sec sec Ch ch Vol vol Art art Eq eq Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec "
-    "Nr Abb Abschn Kap Bd Abs Tab Str str pág págs Pág núm Núm p�g n�m cap h ft lb s с д кв корп т п ст N"
+    "Nr Abb Abschn Kap Bd Abs Tab Str str pág págs Pág núm Núm cap h ft lb s с д кв корп т п ст N"
 ).split()
 MONTHS = "Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jh|Jahrhunderts?"
 ARTICLES = "der|die|das|dem|den|des|am|im|vom|zum|zur|beim|seit|jeder|jede|jedes|dieser|diesem|ins|einem|einer"
@@ -56,19 +67,21 @@ WEEKDAYS = "Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday|Mon|Tue|Wed
 #: What follows a quotation that is part of a longer sentence, in languages without letter case, and names before the verb in English.
 SPEECH = (
     rf"{GAP}*+(?:سأل|سألت|قال|قالت|صاح|صاحت|هتف|هتفت|أجاب|أجابت|رد|ردت|أضاف|أضافت|همس|همست|تساءل|تساءلت)(?!\p{{L}})"
-    rf"|{GAP}*+[^\s।]+(?:{GAP}[^\s।]+)?{GAP}ने{GAP}(?:पूछा|कहा|बताया|बोला|पुकारा|जवाब|उत्तर|लिखा)"
+    rf"|{GAP}*+[\p{{IsDevanagari}}&&[^।॥]]++(?:{GAP}(?!ने{GAP})[\p{{IsDevanagari}}&&[^।॥]]++)?{GAP}ने{GAP}(?:पूछा|कहा|बताया|बोला|पुकारा|जवाब|उत्तर|लिखा)"
     rf"|{GAP}*+(?:कहकर|कहा|पूछा|बोला|बोली)(?![\p{{L}}\p{{M}}])"
     r"|(?:他|她|它|我|你|您|我们|他们|她们|人们)(?:[轻低大小高]声)?(?:地)?(?:说|问|喊|答|叫|想|写|回答|补充|解释)|\p{IsHan}{1,4}(?:说道|问道|喊道|答道|叫道|写道)"
     r"|(?:と|って|は|が|を|に|の|へ|も|や|から|まで|など)(?=[\p{IsHan}\p{IsKatakana}\p{N}、，言])"
     rf"|{GAP}+\p{{Lu}}\p{{L}}+{GAP}(?:said|asked|shouted|replied|cried|answered|whispered|wrote|called)(?!\p{{L}})"
 )
 GOES_ON = rf"[,;:،、，；：؛{MARKS}]|{GAP}*+[—–-]|{GAP}*+\p{{Ll}}(?!\p{{Lu}})|{SPEECH}"
-QUOTE_GOES_ON = rf"(?:[”»」』]|“(?!\p{{L}}))(?:{GOES_ON})"
+QUOTE_GOES_ON = rf"(?=[”»」』]|“(?!\p{{L}}))(?:.(?:{GOES_ON}))"
 CLOSE = r"(?:[ \x{a0}\x{202f}]?[»›]|[”’)）\]］」』】》〉＂]|[“\"'](?!\p{L})|�(?![\p{L}\p{N}])| �(?= \p{Ll}))"
 
 
 def _words(words: list[str]) -> str:
-    return "|".join(sorted(words, key=lambda w: (-len(w), w)))
+    """Also with � for a letter outside ASCII of a Latin word, as a false charset leaves it."""
+    lost = {re.sub(r"[^\x00-\x7f]", "�", w) for w in words if re.search("[a-zA-Z]", w)}
+    return "|".join(sorted({*words, *lost}, key=lambda w: (-len(w), w)))
 
 
 #: Full stops that end nothing. The stop comes first in the pattern and what precedes it is looked up from there, so all other characters are passed over quickly.
@@ -93,30 +106,47 @@ STOPS = (
 #: (needed for it to matter, pattern, replacement), in this order.
 MASKS: list[tuple[str | None, str, str]] = [
     # a Greek question mark
-    ("[;;]", r"[;\x{37e}](?:(?<=[\x{370}-\x{3ff}\x{1f00}-\x{1fff}][»”\"’)]?;)|(?<=\x{37e}))", "?"),
-    (None, rf"\.(?:{'|'.join(STOPS)})|[?!](?=[\p{{Ll}}\p{{N}}]{{1,40}}[=&])", MASK),
+    *[(g, rf"{g}(?<=[\x{{370}}-\x{{3ff}}\x{{1f00}}-\x{{1fff}}][»”\"’)]?{g})" if g == ";" else g, held) for g, held in GREEK.items()],
+    (None, rf"\.(?:{'|'.join(STOPS)})", PLACE["."]),
+    *[(mark, rf"{mark}(?=[\p{{Ll}}\p{{N}}]++[=&])", PLACE[m]) for m, mark in (("?", "[?]"), ("!", "!"))],
     # an ellipsis between two clauses of a Chinese sentence; in Japanese after a word that can't end one
     *[
-        (mark, pattern.replace("MARK", mark), MASK * len(mark))
+        (mark, pattern.replace("MARK", mark), PLACE["…"] * len(mark))
         for mark in ("……", "…")
         for pattern in (
-            r"MARK(?=\p{IsHan}[^，、。！？\n…]{0,40}(?:[。！？\n]|$))(?<=(?:^|[。！？\n”」』）])[ 　]{0,2}\p{IsHan}{1,40}MARK)",
+            r"MARK(?=\p{IsHan}[^，、。！？\n…]*+(?:[。！？\n]|$))(?<=(?:^|[。！？\n”」』）])[ 　]{0,2}\p{IsHan}{1,40}MARK)",
             r"MARK(?=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}])(?<=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]MARK)(?<=[\p{IsHiragana}\p{IsKatakana}][^\n。！？]{0,3}MARK)(?<![すただいうくつむぬるん…]MARK)",
         )
     ],
     # a remark in brackets within a sentence
-    ("[。！？]）", r"（(?<=[^\s。！？!?.…」』）”]（)([^（）\n。！？]*+)[。！？]）", f"（$1{MASK}）"),
-    # quotations that are part of a longer sentence; a mark right before their end is judged with what follows
-    (QUOTE_GOES_ON, rf"{MARK}(?={UNQUOTED}++{QUOTE_GOES_ON})", MASK),
+    *[(f"{m}）", rf"（(?<=[^\s。！？!?.…」』）”]（)([^（）\n。！？]*+){m}）", f"（$1{PLACE[m]}）") for m in "。！？"],
 ]
 
 
 def masked(text: Column) -> Column:
-    """The text with every mark that ends nothing replaced by a placeholder; of the same length."""
-    t = F.translate(text, MASK + CUT, "��")
+    """The text with every mark that ends nothing replaced by its placeholder; of the same length."""
+    t = F.translate(text, HELD, "�" * len(HELD))
     for need, pattern, replacement in MASKS:
         t = _where(t, need, pattern, replacement)
-    return t
+    return _let(t, lambda s: F.when(s.rlike(QUOTE_GOES_ON), _quotations(s)).otherwise(s))
+
+
+def _quotations(text: Column) -> Column:
+    """Masks the marks of quotations that are part of a longer sentence; one right before their end is judged with what follows.
+
+    Every closing quote the sentence goes on from is flagged once, and of the
+    text before a flag the part since the last quote or line break is masked.
+    """
+    last = FLAG * len(QUOTES)
+    marks, places = "".join(PLACE), "".join(PLACE.values())
+
+    def inner(piece: Column) -> Column:
+        size = F.length(F.substring_index(F.translate(piece, QUOTES, last), FLAG, -1))
+        head, tail = F.substring(piece, F.lit(1), F.length(piece) - size), F.right(piece, size)
+        return F.when(size > 1, F.concat(head, F.translate(F.substring(tail, F.lit(1), size - 1), marks, places), F.right(tail, F.lit(1)))).otherwise(piece)
+
+    flagged = F.split(F.regexp_replace(text, rf"(?={QUOTE_GOES_ON})", FLAG), FLAG)
+    return _let(flagged, lambda parts: F.array_join(F.transform(parts, lambda p, k: F.when(k < F.size(parts) - 1, inner(p)).otherwise(p)), ""))
 
 
 def _where(t: Column, need: str | None, pattern: str, replacement: str) -> Column:
@@ -126,10 +156,10 @@ def _where(t: Column, need: str | None, pattern: str, replacement: str) -> Colum
 
 
 ENDS = (
-    rf"{MARK}++(?:{CLOSE}++(?!{GOES_ON})"
+    rf"(?<!{MARK}){MARK}++(?:{CLOSE}++(?!{GOES_ON})"
     rf"|(?!{CLOSE})(?![,;:،、，；：؛/@_\\&=%#~]|[-–]\p{{L}})"
     # after a full stop or an ellipsis the sentence may run on
-    rf"(?:(?<=[!?。！？｡؟।॥۔‼⁇⁈⁉։።។။།])(?!(?<=\?)[\p{{Ll}}\p{{N}}])|(?<=[.…])(?!{GAP}*+\p{{Ll}}(?!\p{{Lu}}))(?!(?<=\.)[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}])))"
+    rf"(?:(?<=[!?\x{{e0f0}}\x{{e0f1}}。！？｡؟।॥۔‼⁇⁈⁉։።។။།])(?!(?<=[?\x{{e0f0}}\x{{e0f1}}])[\p{{Ll}}\p{{N}}])|(?<=[.…])(?!{GAP}*+\p{{Ll}}(?!\p{{Lu}}))(?!(?<=\.)[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}])))"
 )
 THAI = "[ก-๎]"
 THAI_GAP = rf"(?<={THAI}[”»\"')]?){GAP}+(?=[“«\"'(]?{THAI})"
@@ -146,20 +176,25 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-UNITS = "array<struct<start_pos:int,end_pos:int>>"
+UNITS = "array<struct<start_pos:int,end_pos:int,unit:string>>"
 SLICE = 256
 
 
-def spans(text: Column) -> Column:
-    """array<struct<start_pos, end_pos>> in code points of the text."""
+def restored(piece: Column) -> Column:
+    marks = {**PLACE, **GREEK}
+    return F.translate(piece, "".join(marks.values()), "".join(marks))
+
+
+def spans(text: Column, size: Callable[[Column], Column] = F.length) -> Column:
+    """array<struct<start_pos, end_pos, unit>>: places counted by ``size`` of the text before, code points or bytes, and the unit with its marks restored."""
 
     def within(part: Column, start: Column) -> Column:
         def add(acc: Column, p: Column) -> Column:
             body = F.ltrim(p, F.lit(BLANKS))
-            lead = F.length(p) - F.length(body)
-            size = F.length(F.rtrim(body, F.lit(BLANKS)))
-            one = F.array(F.struct((acc["pos"] + lead).cast("int").alias("start_pos"), (acc["pos"] + lead + size).cast("int").alias("end_pos")))
-            return F.struct((acc["pos"] + F.length(p)).cast("int").alias("pos"), F.when(size > 0, F.concat(acc["units"], one)).otherwise(acc["units"]).cast(UNITS).alias("units"))
+            lead = size(p) - size(body)
+            unit = F.rtrim(body, F.lit(BLANKS))
+            one = F.array(F.struct((acc["pos"] + lead).cast("int").alias("start_pos"), (acc["pos"] + lead + size(unit)).cast("int").alias("end_pos"), unit.alias("unit")))
+            return F.struct((acc["pos"] + size(p)).cast("int").alias("pos"), F.when(F.length(unit) > 0, F.concat(acc["units"], one)).otherwise(acc["units"]).cast(UNITS).alias("units"))
 
         return F.aggregate(part, F.struct(start.cast("int").alias("pos"), F.array().cast(UNITS).alias("units")), add, lambda acc: acc["units"])
 
@@ -167,12 +202,12 @@ def spans(text: Column) -> Column:
         parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / SLICE).cast("int")), lambda k: F.slice(all_, k * SLICE + 1, F.lit(SLICE)))
 
         def add(acc: Column, part: Column) -> Column:
-            size = F.aggregate(part, F.lit(0), lambda n, p: n + F.length(p))
-            return F.struct((acc["pos"] + size).cast("int").alias("pos"), F.concat(acc["units"], F.array(within(part, acc["pos"]))).cast(f"array<{UNITS}>").alias("units"))
+            whole = F.aggregate(part, F.lit(0), lambda n, p: n + size(p))
+            return F.struct((acc["pos"] + whole).cast("int").alias("pos"), F.concat(acc["units"], F.array(within(part, acc["pos"]))).cast(f"array<{UNITS}>").alias("units"))
 
         return F.flatten(F.aggregate(parts, F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{UNITS}>").alias("units")), add, lambda acc: acc["units"]))
 
-    return _let(pieces(text), sliced)
+    return _let(F.transform(pieces(text), restored), sliced)
 
 
 CP1252 = {bytes([b]).decode("cp1252"): chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
@@ -199,15 +234,18 @@ def recased(text: Column) -> Column:
     return F.when(text.rlike(r"(?s)(?<!\p{L})[а-яё][А-Я]{3}.*?(?<!\p{L})[а-яё][А-Я]{3}"), F.translate(text, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))).otherwise(text)
 
 
+def _units(documents: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """(keep.., start_pos, end_pos, unit)"""
+    whole = documents.select(*keep, F.col(text).alias("t")).where("t is not null and t <> ''").select(*keep, "t", meant(F.col("t")).alias("m"))
+    # every byte of a garbled text's meaning is one of its code points
+    return whole.select(*keep, F.inline(F.when(F.col("m").isNull(), spans(recased(F.col("t")))).otherwise(spans(F.col("m"), F.octet_length))))
+
+
 def sentence_units(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keep.., start_pos, end_pos): one row for each unit."""
-    whole = documents.select(*keep, F.col(text).alias("t")).where("t is not null and t <> ''").select(*keep, "t", meant(F.col("t")).alias("m"))
-    bytes_before = lambda m, n: F.octet_length(F.substring(m, F.lit(1), n)).cast("int")
-    plain = spans(recased(F.col("t")))
-    repaired = F.transform(spans(F.col("m")), lambda u: F.struct(bytes_before(F.col("m"), u["start_pos"]).alias("start_pos"), bytes_before(F.col("m"), u["end_pos"]).alias("end_pos")))
-    return whole.select(*keep, F.inline(F.when(F.col("m").isNull(), plain).otherwise(repaired)))
+    return _units(documents, text, keep).select(*keep, "start_pos", "end_pos")
 
 
 def sentences(documents: DataFrame) -> DataFrame:
-    """(doc_id, start_pos, end_pos, sentence) with the restored text."""
-    return sentence_units(documents, keep=("doc_id", "text")).select("doc_id", "start_pos", "end_pos", F.substring("text", F.col("start_pos") + 1, F.col("end_pos") - F.col("start_pos")).alias("sentence"))
+    """(doc_id, start_pos, end_pos, sentence) with the restored text; that of a garbled text is the one that was meant."""
+    return _units(documents, "text", ("doc_id",)).select("doc_id", "start_pos", "end_pos", F.col("unit").alias("sentence"))

@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -352,6 +353,27 @@ def test_units_cover_every_text(spark):
         assert not text[at:].strip(S.BLANKS)
 
 
+def garble(text):
+    return text.encode().decode("latin-1").translate({b: bytes([b]).decode("cp1252") for b in set(leaks.CP1252.values())})
+
+
+@pytest.mark.parametrize("first, again", [("“Stop!” he said. ", "A cart left the dock. "), ("", "“Stop! Go!” he said. A cart left. "), ("", garble("“Größe!” he said. Über die Brücke. ")), ("", "“窗帘！”她喊道，后面。露台……狭窄的果园。"), ("", ".")])
+def test_sentences_take_time_in_proportion_to_the_line(spark, first, again):
+    def seconds(n):
+        one = spark.createDataFrame([(1, (first + again * (n // len(again))) + "a")], "doc_id int, text string")
+        began = time.perf_counter()
+        S.sentences(one).agg(F.sum(F.length("sentence"))).collect()
+        return time.perf_counter() - began
+
+    fixed = min(seconds(100) for _ in range(2))
+    half, whole = (min(seconds(n) for _ in range(2)) - fixed for n in (300_000, 600_000))
+    assert whole <= 2.6 * max(half, 0.5)
+
+
 def test_restored_sentences(spark):
+    texts = ["Τι; Ναι\u037e Ο δρ. Α. “Ή! όχι.”, είπε", "第7.4版……狭窄（见。）他：“晒干！”她说。", "Was? ask?x=1 “Eins! zwei.”, sagte er… und"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in S.sentences(docs).collect():
+        assert r.sentence == texts[r.doc_id][r.start_pos : r.end_pos]
     docs = spark.createDataFrame([(1, "Mr. A left. It was 3.5!")], "doc_id int, text string")
     assert sorted(r.sentence for r in S.sentences(docs).collect()) == ["It was 3.5!", "Mr. A left."]
