@@ -13,8 +13,14 @@ stretch of leaked text.
 Any passage with at most one edit in eight holds an unedited run of five words
 (six characters), so seeds of that length lose none.
 
-The items are a stated query set: they are read in blocks of bounded size, each
-held in an automaton that is linear in its block. Documents are never gathered.
+Each item has the seed of its own length class, so a short item adds no work to
+the search for long ones. An extension goes on until its edits are more than
+one in eight of what it has matched by SLACK; text behind a worse gap is found
+by seeds of its own and is a stretch of its own.
+
+The items are a stated query set: they are read in blocks of a bounded number of
+tokens, which are broadcast; the Python workers build the automaton, linear in
+its block. Documents are never gathered.
 
 Tokens: NFKD, without marks and invisible characters, case-folded; Han and kana
 characters one by one, other letters and digits in runs. UTF-8 read as
@@ -29,6 +35,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -45,7 +52,7 @@ TOKEN = re.compile(f"[{CJK}]|[^\\W_{CJK}]+")
 ASCII_TOKEN = re.compile("[a-z0-9]+")
 IS_CJK = re.compile(f"[{CJK}]")
 WORDS, CHARACTERS, ONE_IN = 12, 25, 8
-SEED_WORDS, SEED_CHARACTERS, MOST_EDITS = 5, 6, 4
+SEED_WORDS, SEED_CHARACTERS, SLACK = 5, 6, 4
 FAR_BEHIND = 64
 
 
@@ -108,7 +115,6 @@ class Automaton:
         self.least = [min(CHARACTERS if c else WORDS, len(t)) for c, (_, t) in zip(cjk, self.items)]
         # a whole short item may have fewer edits, and then longer unedited runs
         self.seed = [min(SEED_CHARACTERS if c else SEED_WORDS, max(1, (n - n // ONE_IN) // (n // ONE_IN + 1))) for c, n in zip(cjk, self.least)]
-        self.shortest = min(self.seed, default=1)
         self._build()
 
     def _build(self) -> None:
@@ -138,15 +144,21 @@ class Automaton:
                         link[cur] = q if length[q] == length[p] + 1 else self._clone(nxt, link, length, end, p, c, q)
                     last = cur
                 end[last] = [*(end[last] or ()), (k, pos)]
-        # for each state the ends of all its occurrences are those of the states below it; only the topmost state of a seed's length keeps them
+        # The ends of all occurrences of a state's texts are those of the states below it. Of the states on a path from the
+        # root, only the topmost of at least a seed's length keeps the ends of items of that seed: (seed, ends).
         order = sorted(range(1, len(nxt)), key=length.__getitem__)
-        top = [-1] * len(nxt)
-        ends: dict[int, list[tuple[int, int]]] = {}
+        lengths = sorted(set(self.seed))
+        hits: list[tuple[tuple[int, list[tuple[int, int]]], ...]] = [()] * len(nxt)
         for v in order:
-            if length[v] >= self.shortest:
-                top[v] = v if length[link[v]] < self.shortest else top[link[v]]
-                ends.setdefault(top[v], []).extend(end[v] or ())
-        self.nxt, self.link, self.length, self.top, self.ends = nxt, link, length, top, ends
+            up = link[v]
+            own = tuple((n, []) for n in lengths if length[up] < n <= length[v])
+            hits[v] = hits[up] + own if own else hits[up]
+            for k, pos in end[v] or ():
+                for n, ends in hits[v]:
+                    if n == self.seed[k]:
+                        ends.append((k, pos))
+        kept = {id(h): tuple(x for x in h if x[1]) for h in {id(h): h for h in hits}.values()}
+        self.nxt, self.link, self.length, self.hits = nxt, link, length, [kept[id(h)] for h in hits]
 
     @staticmethod
     def _clone(nxt, link, length, end, p, c, q) -> int:
@@ -165,9 +177,10 @@ class Automaton:
         """item number -> (words and edits of the longest passage, first and last token in the document) of each stretch of overlapping passages."""
         get = self.vocab.get
         ids = [get(t, -1) for t in toks]
-        nxt, link, length, top, ends, shortest = self.nxt, self.link, self.length, self.top, self.ends, self.shortest
+        nxt, link, length, hits, whole = self.nxt, self.link, self.length, self.hits, self.least
         found: dict[int, list[tuple[int, ...]]] = {}
         seen: dict[tuple[int, int], int] = {}
+        open_: dict[int, list[tuple[int, ...]]] = {}  # those that reach as far as the scan
         v = n = 0
         for i, c in enumerate(ids):
             if c < 0:
@@ -184,15 +197,17 @@ class Automaton:
                 n = length[v]
             v = to
             n += 1
-            if n >= shortest:
-                # the state may stand for longer texts than the n tokens matched, all of the same ends
-                for k, e in ends[top[v]]:
-                    if seen.get((k, i - e), -1) >= i:
-                        continue
-                    self._extend(ids, i, k, e, seen, found)
+            for seed, ends in hits[v]:
+                if seed > n:  # the state stands for longer texts too, all of the same ends
+                    break
+                for k, e in ends:
+                    if whole[k] == seed:  # a short item that stands there as it is
+                        found.setdefault(k, []).append((seed, 0, i - seed + 1, i, 0, seed))
+                    elif seen.get((k, i - e), -1) < i:
+                        self._extend(ids, i, k, e, seen, found, open_)
         return {k: _stretches(spans) for k, spans in found.items()}
 
-    def _extend(self, ids, i, k, e, seen, found) -> None:
+    def _extend(self, ids, i, k, e, seen, found, open_) -> None:
         seq = self.seqs[k]
         a, b = i, e
         while a > 0 and b > 0 and ids[a - 1] == seq[b - 1]:
@@ -206,7 +221,7 @@ class Automaton:
         run = f - b
         if run < self.seed[k]:
             return
-        passages = found.get(k, ())
+        passages = open_[k] = [s for s in open_.get(k, ()) if s[3] >= i]
         if any(p <= a and j - 1 <= q and lo <= b and f <= hi and abs((a - b) - (p - lo)) <= edits for _, edits, p, q, lo, hi in passages):
             return  # part of a passage that was extended over it
         least = self.least[k]
@@ -217,7 +232,8 @@ class Automaton:
             for y, ra, rb in reversed(rights):
                 words, edits = run + lb + rb, x + y
                 if words >= least and edits * ONE_IN <= words:
-                    found.setdefault(k, []).append((words, edits, a - la, j + ra - 1, b - lb, f + rb))
+                    passages.append((words, edits, a - la, j + ra - 1, b - lb, f + rb))
+                    found.setdefault(k, []).append(passages[-1])
                     break
 
 
@@ -235,13 +251,13 @@ def _stretches(passages: list[tuple[int, ...]]) -> list[tuple[int, int, int, int
 def _reach(ids: list[int], seq: list[int], i: int, f: int, step: int, spare: int) -> list[tuple[int, int, int]]:
     """(edits, tokens of ids, tokens of seq) that alignments from ids[i] and seq[f] on reach at most, ending with an equal token, wherever more edits reach further.
 
-    MOST_EDITS are always tried, more while they are at most one in ONE_IN of what is reached and of ``spare`` words beside it.
+    So many edits are tried as are one in ONE_IN of what is reached and of ``spare`` words beside it, and SLACK more.
     """
     nx, ny = (len(ids) - i, len(seq) - f) if step > 0 else (i + 1, f + 1)
     reach = {0: 0}  # diagonal (place in ids less place in seq) -> place in seq
     best = [(0, 0, 0)]
     edits = 0
-    while reach and edits < max(MOST_EDITS, (spare + best[-1][2]) // ONE_IN):
+    while reach and edits < SLACK + (spare + best[-1][2]) // ONE_IN:
         edits += 1
         new: dict[int, int] = {}
         for d, p in reach.items():
@@ -267,27 +283,38 @@ SCHEMA = "doc_id bigint, item_id bigint, words int, edits int, first_token int,
 HASHED = f"{SCHEMA}, text_hash bigint"
 
 
-def _blocks(items: DataFrame, block_tokens: int) -> Iterator[Automaton]:
-    """Items are read one by one; no more than a block is held."""
+def _blocks(items: DataFrame, block_tokens: int) -> Iterator[list[tuple[int, list[str]]]]:
+    """Items are read one by one; no more than a block is held, nor sent to the executors at once."""
     block, size = [], 0
     for r in items.select("item_id", "item_text").where("item_text is not null").orderBy("item_id", "item_text").toLocalIterator():
         t = item_tokens(r[1])
         block.append((r[0], t))
         size += len(t)
         if size >= block_tokens:
-            yield Automaton(block)
+            yield block
             block, size = [], 0
     if block:
-        yield Automaton(block)
+        yield block
+
+
+_built: dict[str, Automaton] = {}
+
+
+def automaton_of(name: str, block: list[tuple[int, list[str]]]) -> Automaton:
+    """Built once in each Python worker; the last one is kept for the tasks that follow."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Automaton(block)
+    return _built[name]
 
 
-def _scanner(model):
+def _scanner(model, name: str):
     def scan(frames: Iterator) -> Iterator:
         import pandas as pd
 
-        from rivulet.llm.leaks import placed_tokens, tokens, ungarbled
+        from rivulet.llm.leaks import automaton_of, placed_tokens, tokens, ungarbled
 
-        automaton = model.value
+        automaton = automaton_of(name, model.value)
         for frame in frames:
             rows = []
             for doc, text, text_hash in zip(frame["doc_id"], frame["text"], frame["text_hash"]):
@@ -314,18 +341,18 @@ def _scanner(model):
     return scan
 
 
-def passages(documents: DataFrame, items: DataFrame, block_tokens: int = 1_000_000) -> DataFrame:
+def passages(documents: DataFrame, items: DataFrame, block_tokens: int = 500_000) -> DataFrame:
     """Every leaked stretch of each item in each document: SCHEMA. words and edits are those of the longest passage in it; start_pos and end_pos are code points of the text as it stands, garbled or not."""
     return _passages(documents, items, block_tokens).drop("text_hash")
 
 
-def _passages(documents: DataFrame, items: DataFrame, block_tokens: int = 1_000_000) -> DataFrame:
+def _passages(documents: DataFrame, items: DataFrame, block_tokens: int = 500_000) -> DataFrame:
     spark = documents.sparkSession
     ship(spark)
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).where("text is not null and text <> ''")
     out = None
-    for automaton in _blocks(items, block_tokens):
-        part = texts.mapInPandas(_scanner(spark.sparkContext.broadcast(automaton)), HASHED)
+    for block in _blocks(items, block_tokens):
+        part = texts.mapInPandas(_scanner(spark.sparkContext.broadcast(block), uuid.uuid4().hex), HASHED)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], HASHED)
 

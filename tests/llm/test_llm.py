@@ -254,6 +254,72 @@ def test_every_passage_is_cut(spark):
     assert text.split() == f"{filler}. ! {filler} . {filler}".split()
 
 
+def brute_stretches(doc, item, least):
+    """Unions of all passages (as in brute_leak) of the document, by place."""
+    least, spans = min(least, len(item)), []
+    for s in range(len(doc)):
+        for a in range(len(item)):
+            if doc[s] != item[a]:
+                continue
+            row = list(range(len(doc) - s + 1))
+            for b in range(a + 1, len(item) + 1):
+                row, last = [b - a], row
+                for k, y in enumerate(doc[s:], 1):
+                    row.append(min(last[k] + 1, row[-1] + 1, last[k - 1] + (item[b - 1] != y)))
+                if b - a >= least:
+                    spans += [(s, s + k - 1) for k, d in enumerate(row) if k and d * 8 <= b - a and doc[s + k - 1] == item[b - 1]]
+    out = []
+    for p, q in sorted(spans):
+        if out and p <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], q)
+        else:
+            out.append([p, q])
+    return out
+
+
+def test_stretches_against_brute_force():
+    """Where they begin and end, with items quoted twice and up to ten edits a copy."""
+    counts = [stretch_case(random.Random(seed)) for seed in range(200)]
+    assert sum(f for f, _ in counts) >= 0.997 * sum(t for _, t in counts)
+    assert all(f >= 0.9 * t for f, t in counts)
+
+
+def stretch_case(rng):
+    item = [f"w{k}" for k in range(rng.choice([14, 30, 64]))]
+    doc = ["x"] * rng.randrange(3)
+    for _ in range(rng.choice([1, 2])):
+        copy = item[rng.randrange(3) :]
+        for _ in range(rng.randrange(11)):
+            k = rng.randrange(len(copy))
+            copy[k : k + 1] = rng.choice([["zzz"], [], [copy[k], "zzz"]])
+        doc += copy + ["y"] * rng.randrange(20)
+    got = leaks.Automaton([(1, item)]).find(doc).get(0, [])
+    want = brute_stretches(doc, item, leaks.WORDS)
+    # all leaked text lies in a stretch, and no stretch takes in more than the leaks it joins
+    inside = lambda spans: {t for p, q in spans for t in range(p, q + 1)}
+    found, true = inside([s[2:] for s in got]), inside(want)
+    assert found <= true and bool(got) == bool(want)
+    return len(found), len(true)
+
+
+def test_a_short_item_adds_little_work():
+    rng = random.Random(1)
+    voc = [f"w{k}" for k in range(300)] + ["the"] * 40
+    items = [(k, [rng.choice(voc) for _ in range(100)]) for k in range(300)]
+    doc = [rng.choice(voc) for _ in range(40000)]
+
+    def seconds(some):
+        automaton, times = leaks.Automaton(some), []
+        for _ in range(3):
+            began = time.perf_counter()
+            automaton.find(doc)
+            times.append(time.perf_counter() - began)
+        return min(times)
+
+    assert seconds([*items, (-1, ["the"])]) < 2 * seconds(items) + 0.05
+    assert len(leaks.Automaton([*items, (-1, ["the"])]).find(doc)[300]) == doc.count("the")
+
+
 def test_coverage_counts_all_leaked_tokens(spark):
     w, f = [f"w{k}" for k in range(40)], [f"f{k}" for k in range(30)]
     items = spark.createDataFrame([(1, " ".join(w[:20])), (2, " ".join(w[20:])), (3, "Où l’été déjà fini, l’élève égaré relève une clé près des prés")], "item_id long, item_text string")
