@@ -176,7 +176,6 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-UNITS = "array<struct<start_pos:int,end_pos:int,unit:string>>"
 SLICE = 256
 
 
@@ -185,29 +184,31 @@ def restored(piece: Column) -> Column:
     return F.translate(piece, "".join(marks.values()), "".join(marks))
 
 
-def spans(text: Column, size: Callable[[Column], Column] = F.length) -> Column:
-    """array<struct<start_pos, end_pos, unit>>: places counted by ``size`` of the text before, code points or bytes, and the unit with its marks restored."""
+def spans(text: Column, size: Callable[[Column], Column] = F.length, with_text: bool = True) -> Column:
+    """array<struct<start_pos, end_pos[, unit]>>: places counted by ``size`` of the text before, code points or bytes, and the unit with its marks restored."""
+    units_type = f"array<struct<start_pos:int,end_pos:int{',unit:string' if with_text else ''}>>"
 
     def within(part: Column, start: Column) -> Column:
         def add(acc: Column, p: Column) -> Column:
             body = F.ltrim(p, F.lit(BLANKS))
             lead = size(p) - size(body)
             unit = F.rtrim(body, F.lit(BLANKS))
-            one = F.array(F.struct((acc["pos"] + lead).cast("int").alias("start_pos"), (acc["pos"] + lead + size(unit)).cast("int").alias("end_pos"), unit.alias("unit")))
-            return F.struct((acc["pos"] + size(p)).cast("int").alias("pos"), F.when(F.length(unit) > 0, F.concat(acc["units"], one)).otherwise(acc["units"]).cast(UNITS).alias("units"))
+            one = F.array(F.struct((acc["pos"] + lead).cast("int").alias("start_pos"), (acc["pos"] + lead + size(unit)).cast("int").alias("end_pos"), *([unit.alias("unit")] if with_text else [])))
+            return F.struct((acc["pos"] + size(p)).cast("int").alias("pos"), F.when(F.length(unit) > 0, F.concat(acc["units"], one)).otherwise(acc["units"]).cast(units_type).alias("units"))
 
-        return F.aggregate(part, F.struct(start.cast("int").alias("pos"), F.array().cast(UNITS).alias("units")), add, lambda acc: acc["units"])
+        return F.aggregate(part, F.struct(start.cast("int").alias("pos"), F.array().cast(units_type).alias("units")), add, lambda acc: acc["units"])
 
     def sliced(all_: Column) -> Column:
         parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / SLICE).cast("int")), lambda k: F.slice(all_, k * SLICE + 1, F.lit(SLICE)))
 
         def add(acc: Column, part: Column) -> Column:
             whole = F.aggregate(part, F.lit(0), lambda n, p: n + size(p))
-            return F.struct((acc["pos"] + whole).cast("int").alias("pos"), F.concat(acc["units"], F.array(within(part, acc["pos"]))).cast(f"array<{UNITS}>").alias("units"))
+            return F.struct((acc["pos"] + whole).cast("int").alias("pos"), F.concat(acc["units"], F.array(within(part, acc["pos"]))).cast(f"array<{units_type}>").alias("units"))
 
-        return F.flatten(F.aggregate(parts, F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{UNITS}>").alias("units")), add, lambda acc: acc["units"]))
+        return F.flatten(F.aggregate(parts, F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{units_type}>").alias("units")), add, lambda acc: acc["units"]))
 
-    return _let(F.transform(pieces(text), restored), sliced)
+    # placeholders are as many code points as their marks, but not as many bytes
+    return _let(pieces(text) if size is F.length and not with_text else F.transform(pieces(text), restored), sliced)
 
 
 CP1252 = {bytes([b]).decode("cp1252"): chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
@@ -234,18 +235,18 @@ def recased(text: Column) -> Column:
     return F.when(text.rlike(r"(?s)(?<!\p{L})[а-яё][А-Я]{3}.*?(?<!\p{L})[а-яё][А-Я]{3}"), F.translate(text, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))).otherwise(text)
 
 
-def _units(documents: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
-    """(keep.., start_pos, end_pos, unit)"""
+def _units(documents: DataFrame, text: str, keep: tuple[str, ...], with_text: bool) -> DataFrame:
+    """(keep.., start_pos, end_pos[, unit])"""
     whole = documents.select(*keep, F.col(text).alias("t")).where("t is not null and t <> ''").select(*keep, "t", meant(F.col("t")).alias("m"))
     # every byte of a garbled text's meaning is one of its code points
-    return whole.select(*keep, F.inline(F.when(F.col("m").isNull(), spans(recased(F.col("t")))).otherwise(spans(F.col("m"), F.octet_length))))
+    return whole.select(*keep, F.inline(F.when(F.col("m").isNull(), spans(recased(F.col("t")), F.length, with_text)).otherwise(spans(F.col("m"), F.octet_length, with_text))))
 
 
 def sentence_units(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keep.., start_pos, end_pos): one row for each unit."""
-    return _units(documents, text, keep).select(*keep, "start_pos", "end_pos")
+    return _units(documents, text, keep, False).select(*keep, "start_pos", "end_pos")
 
 
 def sentences(documents: DataFrame) -> DataFrame:
     """(doc_id, start_pos, end_pos, sentence) with the restored text; that of a garbled text is the one that was meant."""
-    return _units(documents, "text", ("doc_id",)).select("doc_id", "start_pos", "end_pos", F.col("unit").alias("sentence"))
+    return _units(documents, "text", ("doc_id",), True).select("doc_id", "start_pos", "end_pos", F.col("unit").alias("sentence"))
