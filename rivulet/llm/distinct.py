@@ -38,17 +38,20 @@ def sketch(df: DataFrame, group: Mapping[str, Column], ids: Mapping[str, Column]
     if taken := {"metric", "bucket", "bits", "h", "r"} & set(group):
         raise ValueError(f"groups may not be named {sorted(taken)}")
     width = buckets.bit_length() - 1
+    names = sorted(ids)
     hashed = df.select(*[c.alias(g) for g, c in group.items()], *[F.when(c.isNotNull(), F.xxhash64(c)).alias(f"h_{m}") for m, c in ids.items()])
-    pairs = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"h_{m}").alias("h")) for m in ids]))
+    pairs = F.inline(F.array(*[F.struct(F.lit(k << width).alias("metric"), F.col(f"h_{m}").alias("h")) for k, m in enumerate(names)]))
     rest = F.bitwise_not(F.lit(0)).cast("bigint")  # all ones
     rank_bits = F.shiftrightunsigned("h", width).bitwiseOR(F.lit(1 << (BITS - 1)))
+    # while they are shuffled, metric and bucket are one number
     return (
         hashed.select(*group, pairs)
         .where("h is not null")
-        .select(*group, "metric", F.col("h").bitwiseAND(F.lit(buckets - 1)).cast("int").alias("bucket"), rank_bits.alias("r"))
-        .select(*group, "metric", "bucket", F.col("r").bitwiseAND((F.col("r").bitwiseXOR(rest)) + F.lit(1)).alias("bits"))
-        .groupBy(*group, "metric", "bucket")
+        .select(*group, F.col("h").bitwiseAND(F.lit(buckets - 1)).cast("int").bitwiseOR(F.col("metric")).alias("bucket"), rank_bits.alias("r"))
+        .select(*group, "bucket", F.col("r").bitwiseAND((F.col("r").bitwiseXOR(rest)) + F.lit(1)).alias("bits"))
+        .groupBy(*group, "bucket")
         .agg(F.bit_or("bits").alias("bits"))
+        .select(*group, F.element_at(F.array(*[F.lit(m) for m in names]), F.shiftright("bucket", width) + 1).alias("metric"), F.col("bucket").bitwiseAND(F.lit(buckets - 1)).alias("bucket"), "bits")
     )
 
 

@@ -16,9 +16,10 @@ SHARES = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
 
 def _line_sketches(spark: SparkSession, d: str) -> DataFrame:
     """Sketches of orders and customers by day and group. The customer of an order is that of its latest load."""
-    lines = table(spark, d, "tpch_lineitems").select("orderkey", *GROUP).distinct()  # a hot order is one row per day and group from here on
-    orders = topn.latest(table(spark, d, "tpch_orders"), "orderkey", "custkey")
-    return distinct.sketch(lines.join(orders, "orderkey", "left"), {g: F.col(g) for g in GROUP}, {"orders": F.col("orderkey"), "customers": F.col("custkey")})
+    lines = table(spark, d, "tpch_lineitems").select("orderkey", *GROUP)  # a sketch ignores what comes again, so nothing is made distinct
+    groups = {g: F.col(g) for g in GROUP}
+    orders = topn.latest(table(spark, d, "tpch_orders"), "orderkey", "custkey").where("custkey is not null")
+    return distinct.sketch(lines, groups, {"orders": F.col("orderkey")}).unionByName(distinct.sketch(lines.join(orders, "orderkey"), groups, {"customers": F.col("custkey")}))
 
 
 def p2_distinct_by_day(spark: SparkSession, d: str) -> DataFrame:
