@@ -27,7 +27,7 @@ def _numbering(group: list[str], weight: str | None, keep: int | None, every_gro
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
-        opened, total, is_first, edges, schema = None, 0, True, [], None  # the group that is open at the end of a batch
+        opened, open_keys, total, is_first, edges, schema = None, None, 0, True, [], None  # the group that is open at the end of a batch
 
         for batch in batches:
             n = batch.num_rows
@@ -35,6 +35,7 @@ def _numbering(group: list[str], weight: str | None, keep: int | None, every_gro
             if not n:
                 continue
             key = lambda k: tuple(batch.column(g)[int(k)].as_py() for g in group)  # noqa: B023, E731
+            keys = lambda rows: [batch.column(g).take(pa.array(rows)) for g in group]  # noqa: B023, E731
             new = np.zeros(n, dtype=bool)
             for g in group:
                 codes = batch.column(g).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
@@ -47,11 +48,12 @@ def _numbering(group: list[str], weight: str | None, keep: int | None, every_gro
             starts = np.flatnonzero(new)
             if len(starts):
                 if opened is not None and (every_group or is_first):
-                    edges.append((*opened, int(pos[starts[0] - 1]) if starts[0] else total))
-                inner = range(len(starts) - 1) if every_group else range(min(1, len(starts) - 1)) if opened is None else ()
-                edges += [(*key(starts[k]), int(pos[starts[k + 1] - 1])) for k in inner]
+                    edges.append((open_keys, [int(pos[starts[0] - 1]) if starts[0] else total]))
+                inner = len(starts) - 1 if every_group else min(1, len(starts) - 1) if opened is None else 0
+                if inner:
+                    edges.append((keys(starts[:inner]), pos[starts[1 : inner + 1] - 1]))
                 is_first = opened is None and len(starts) == 1
-                opened = key(starts[-1])
+                opened, open_keys = key(starts[-1]), keys(starts[-1:])
             total = int(pos[-1])
             out = pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(np.full(n, pid, dtype=np.int32)), pa.array(pos), pa.array(np.zeros(n, dtype=bool))],
@@ -59,13 +61,14 @@ def _numbering(group: list[str], weight: str | None, keep: int | None, every_gro
             )
             yield out.filter(pa.array(pos <= keep)) if keep is not None else out
         if opened is not None:
-            edges.append((*opened, total))
+            edges.append((open_keys, [total]))
+            ends = np.concatenate([np.asarray(p, dtype=np.int64) for _, p in edges])
             cols = []
             for f in schema:
                 k = group.index(f.name) if f.name in group else None
-                cols.append(pa.nulls(len(edges), f.type) if k is None else pa.array([e[k] for e in edges], type=f.type))
+                cols.append(pa.nulls(len(ends), f.type) if k is None else pa.concat_arrays([e[k] for e, _ in edges]))
             yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array([pid] * len(edges), type=pa.int32()), pa.array([e[-1] for e in edges], type=pa.int64()), pa.array([True] * len(edges))],
+                [*cols, pa.array(np.full(len(ends), pid, dtype=np.int32)), pa.array(ends), pa.array(np.ones(len(ends), dtype=bool))],
                 names=[*schema.names, "__pid", "__pos", "__summary"],
             )
 
@@ -81,6 +84,7 @@ def positions(df: DataFrame, group: Sequence[str], order: Sequence[Column], weig
     partition (with its total there, ``__total``), else only those at the edges.
     """
     group = list(group)
+    df = staged(df, "unranked")  # read twice: for the bounds of the ranges, and for the sort
     sorted_rows = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
     schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), "__pid int", "__pos bigint", "__summary boolean"])
     numbered = staged(sorted_rows.mapInArrow(_numbering(group, weight, keep, every_group), schema), "ranked")
