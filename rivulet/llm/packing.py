@@ -6,12 +6,15 @@ the emptiest container gives its items away to fuller ones: it moves an item,
 exchanges one for a smaller one, two for one, or one for two, and each such step
 moves size from a less to a more filled container, so the sum of squared fills
 grows and the search ends. A container is gone once it is empty; the search
-stops when no fewer containers can hold the block, or after ``patience``
-containers in turn that couldn't be emptied.
+stops when no fewer containers can hold the block (by total size, and by items
+of over half the capacity), or when no open container has an improving step
+left. Pairs of equal sum are alike, so all pairs are searched at the cost of as
+many as there are sums.
 
-Containers that are nearly full are closed, the items of the others go into the
-next block; what a partition has left at its end is packed in a second round
-over all partitions. Nothing is shuffled but those remainders.
+Containers filled to ``close_at`` (all but 0.2 %) are closed, the items of the
+others go into the next block; what fills no container in its partition, at its
+end or beyond ``carry`` items, is packed in a second round over all partitions,
+mixed. Nothing is shuffled but those remainders (ids and sizes).
 
 An item larger than the capacity is the only kind that is split: into full
 containers and a rest that is packed like any item. Items of size 0 are put
@@ -126,40 +129,47 @@ class Block:
                 self._move(x, to)
             return True
 
-        seen = set()
-        for x in mine:  # one for one
-            if int(size[x]) not in seen and exchange([int(x)], int(size[x])):
+        for amount in np.unique(size[mine])[::-1]:  # one for one
+            if amount > 0 and exchange([int(mine[np.argmax(size[mine] == amount)])], int(amount)):
                 return True
-            seen.add(int(size[x]))
-        top = mine[:12]
-        for i in range(len(top)):  # two for one
-            for j in range(i + 1, len(top)):
-                if exchange([int(top[i]), int(top[j])], int(size[top[i]] + size[top[j]])):
-                    return True
-        for to in np.argsort(-room, kind="stable")[:16]:  # one for two of the roomiest
-            if room[to] <= 0:
+        # two for one: pairs of equal sum are alike, so there are no more of them than the capacity
+        i, j = np.triu_indices(len(mine), 1)
+        sums, first = np.unique(size[mine[i]] + size[mine[j]], return_index=True)
+        # by the size taken back, the most that a container with such an item can take
+        most = np.zeros(cap + 1, dtype=np.int64)
+        np.maximum.at(most, others_size, others_room + others_size)
+        held = np.flatnonzero(most)
+        ok = (held[None, :] < sums[:, None]) & (most[held][None, :] >= sums[:, None]) if len(held) else np.zeros((len(sums), 0), dtype=bool)
+        for k in np.flatnonzero(ok.any(axis=1))[::-1]:
+            if exchange([int(mine[i[first[k]]]), int(mine[j[first[k]]])], int(sums[k])):
+                return True
+        # one for two of the same container: all pairs at once, those of neighbours d apart in the order by container
+        amounts, whose = np.unique(size[mine], return_index=True)
+        theirs = np.flatnonzero((room[at] > 0) & (size < amounts[-1]))
+        theirs = theirs[np.argsort(at[theirs], kind="stable")]
+        box = at[theirs]
+        for d in range(1, len(theirs)):
+            same = np.flatnonzero(box[d:] == box[:-d])
+            if not len(same):
                 break
-            theirs = np.flatnonzero(at == to)
-            if len(theirs) < 2:
-                continue
-            a, b = np.triu_indices(len(theirs), 1)
-            pair = size[theirs[a]] + size[theirs[b]]
-            for x in mine:
-                gain = size[x] - pair
-                ok = np.flatnonzero((gain > 0) & (gain <= room[to]))
-                if len(ok):
-                    best = ok[np.argmax(gain[ok])]
-                    for y in (theirs[a[best]], theirs[b[best]]):
-                        self._move(int(y), giver)
-                    self._move(int(x), int(to))
-                    return True
+            pair = size[theirs[same]] + size[theirs[same + d]]
+            x = np.searchsorted(amounts, pair + room[box[same]], side="right") - 1
+            gain = np.where(x >= 0, amounts[x], 0) - pair
+            k = int(np.argmax(gain))
+            if gain[k] > 0:
+                to = int(box[same[k]])
+                for y in (theirs[same[k]], theirs[same[k] + d]):
+                    self._move(int(y), giver)
+                self._move(int(mine[whose[x[k]]]), to)
+                return True
         return False
 
-    def search(self, patience: int) -> None:
-        least = -(-int(self.size.sum()) // self.cap)
+    def search(self) -> None:
+        """Until as few containers are left as can hold the block, or each open one has been tried since the last was emptied."""
+        # no two items of over half the capacity share a container
+        least = max(-(-int(self.size.sum()) // self.cap), int((2 * self.size > self.cap).sum()))
         stuck: set[int] = set()
-        failed = 0
-        while self.used > max(least, 1) and failed < patience:
+        while self.used > max(least, 1):
             open_ = [b for b in np.flatnonzero((self.fill > 0) & (self.fill < self.cap)) if b not in stuck]
             if not open_:
                 break
@@ -171,13 +181,12 @@ class Block:
                 empty = np.flatnonzero(self.at == giver)  # items of size 0 stay with others
                 if len(empty):
                     self.at[empty] = int(np.argmax(self.fill))
-                failed = 0
+                stuck.clear()
             else:
                 stuck.add(int(giver))
-                failed += 1
 
 
-def _packer(capacity: int, close_at: float, patience: int, carry: int, last_round: bool):
+def _packer(capacity: int, close_at: float, carry: int, last_round: bool):
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
         import pandas as pd
@@ -188,22 +197,14 @@ def _packer(capacity: int, close_at: float, patience: int, carry: int, last_roun
         base = (TaskContext.get().partitionId() << 33) | (int(last_round) << 32)
         used = 0
         columns = ["doc_id", "piece", "first_token", "n_tokens"]
-        carried = pd.DataFrame({"doc_id": pd.Series(dtype="Int64"), "piece": pd.Series(dtype="int64"), "first_token": pd.Series(dtype="int64"), "n_tokens": pd.Series(dtype="int64")})
+        nothing = pd.DataFrame({"doc_id": pd.Series(dtype="Int64"), "piece": pd.Series(dtype="int64"), "first_token": pd.Series(dtype="int64"), "n_tokens": pd.Series(dtype="int64")})
+        carried = nothing
 
         def search(rows: pd.DataFrame, all_of_them: bool):
             nonlocal used
             block = Block(rows["n_tokens"].to_numpy(dtype=np.int64), capacity)
-            block.search(patience)
+            block.search()
             shut = (block.fill >= close_at * capacity) | all_of_them
-            kept = np.bincount(block.at, minlength=len(block.fill))
-            fullest = np.argsort(-block.fill, kind="stable")
-            # sizes that fill no container must not pile up: beyond `carry` items the fullest are closed as they are
-            over = int(kept[~shut].sum()) - carry
-            for b in fullest[~shut[fullest]]:
-                if over <= 0:
-                    break
-                shut[b] = True
-                over -= int(kept[b])
             name = np.full(len(block.fill), -1, dtype=np.int64)
             name[shut] = base + used + np.arange(int(shut.sum()))
             used += int(shut.sum())
@@ -228,6 +229,9 @@ def _packer(capacity: int, close_at: float, patience: int, carry: int, last_roun
             done, carried = search(rows, False)
             if len(done):
                 yield done
+            if len(carried) > carry and not last_round:  # what fills no container here is left for the second round
+                yield carried.assign(container=-1)
+                carried = nothing
         if len(carried):
             if last_round:
                 yield search(carried, True)[0]
@@ -237,12 +241,13 @@ def _packer(capacity: int, close_at: float, patience: int, carry: int, last_roun
     return pack
 
 
-def pack(items: DataFrame, capacity: int, close_at: float = 0.998, patience: int = 24, carry: int = 10_000) -> DataFrame:
-    """SCHEMA for items (doc_id, n_tokens). close_at: the fill from which a container is closed; carry: items of open containers that a block hands on at most."""
+def pack(items: DataFrame, capacity: int, close_at: float = 0.998, carry: int = 10_000) -> DataFrame:
+    """SCHEMA for items (doc_id, n_tokens). close_at: the fill from which a container is closed; carry: items of open containers that are taken on to the next block, more wait for the second round."""
     ship(items.sparkSession)
     first = items.where("n_tokens is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("n_tokens").cast("bigint").alias("n_tokens"))
-    packed = staged(first.mapInPandas(_packer(capacity, close_at, patience, carry, False), SCHEMA), "packed")
+    packed = staged(first.mapInPandas(_packer(capacity, close_at, carry, False), SCHEMA), "packed")
     left = packed.where("container = -1").drop("container")
+    # rows are dealt out evenly, so a task of the second round holds no more than about so many, of all sizes that are left
     tasks = max(1, -(-left.count() // 20_000))
-    again = left.repartition(tasks).mapInPandas(_packer(capacity, close_at, patience, carry, True), SCHEMA)
+    again = left.repartition(tasks).mapInPandas(_packer(capacity, close_at, carry, True), SCHEMA)
     return packed.where("container <> -1").unionByName(again)

@@ -108,7 +108,7 @@ MASKS: list[tuple[str | None, str, str]] = [
     # a Greek question mark
     *[(g, rf"{g}(?<=[\x{{370}}-\x{{3ff}}\x{{1f00}}-\x{{1fff}}][»”\"’)]?{g})" if g == ";" else g, held) for g, held in GREEK.items()],
     (None, rf"\.(?:{'|'.join(STOPS)})", PLACE["."]),
-    *[(mark, rf"{mark}(?=[\p{{Ll}}\p{{N}}]++[=&])", PLACE[m]) for m, mark in (("?", "[?]"), ("!", "!"))],
+    *[(rf"{mark}(?=[\p{{Ll}}\p{{N}}]++[=&])",) * 2 + (PLACE[m],) for m, mark in (("?", "[?]"), ("!", "!"))],
     # an ellipsis between two clauses of a Chinese sentence; in Japanese after a word that can't end one
     *[
         (mark, pattern.replace("MARK", mark), PLACE["…"] * len(mark))

@@ -154,10 +154,16 @@ def test_pack_sizes_that_fill_nothing(spark):
     assert fits(map(tuple, got.collect()), sizes, 100) == 500
 
 
+def test_pack_items_in_order_of_size(spark):
+    sizes = {k: 73 if k < 600 else 24 for k in range(1200)}
+    df = spark.createDataFrame(list(sizes.items()), "doc_id long, n_tokens long").repartitionByRange(2, F.col("n_tokens").desc())
+    assert fits(map(tuple, packing.pack(df, 100, carry=100).collect()), sizes, 100) <= 601
+
+
 def test_search_empties_containers():
     block = packing.Block(np.array([60, 60, 40, 30, 40, 30, 70, 70]), 100)
     before = block.used
-    block.search(10)
+    block.search()
     assert block.used <= before and block.used == 4 and block.fill.sum() == 400
 
 
