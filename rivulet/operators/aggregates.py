@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rivulet.operators.rows import Operator
+from rivulet.operators.slices import Slices, slices_of
 
 
 def count(name: str = "n") -> Column:
@@ -53,26 +55,24 @@ def distinct_group(keys: Sequence[str], of: Sequence[str], *aggs: Column, over_a
     return run
 
 
-def _slices(df: DataFrame, order: str, slices: int) -> Column:
-    cuts = df.agg(F.percentile_approx(order, [k / slices for k in range(1, slices)], 1000)).first()[0]
-    cuts = sorted(set(cuts or []))
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
-
-
-def running(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str = "total", tie: str | None = None, slices: int = 16) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str = "total", tie: str | None = None, slices: int | None = None) -> DataFrame:
     """Every row with the running sum of its key before (old_<name>, null at first) and after it (new_<name>).
 
-    A key's rows are cut into slices of the order column; sums run within a
-    slice and the totals of the slices before are added, so no task has to
-    hold a whole key, however many rows it has.
+    A key with more than one in ``slices`` rows (by default eight for each
+    shuffle partition) is cut into slices of its own order column; sums run
+    within a slice and the totals of the slices before are added, so no task
+    has to hold a whole key, however many rows it has. Sums of doubles lose
+    digits as they do in any order; amounts as decimals or whole cents don't.
     """
-    cut = df.withColumn("__slice", _slices(df, order, slices)).withColumn("__v", value)
+    hashed = F.xxhash64(*[F.col(k) for k in keys]) if keys else F.lit(0).cast("bigint")
+    cut = Slices(df, slices or slices_of(df.sparkSession), hashed, order).added(df, "__slice").withColumn("__v", value)
     by = [F.col(order), *([F.col(tie)] if tie else [])]
     inside = W.partitionBy(*keys, "__slice").orderBy(*by)
     rows = cut.withColumn("__run", F.sum("__v").over(inside.rowsBetween(W.unboundedPreceding, 0))).withColumn("__at", F.row_number().over(inside))
     sums = cut.groupBy(*keys, "__slice").agg(F.sum("__v").alias("__s"))
     before = sums.select(*keys, "__slice", F.sum("__s").over(W.partitionBy(*keys).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)).alias("__before"))
-    joined = rows.join(before, [*keys, "__slice"])
+    same = reduce(lambda a, k: a & F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}")), keys, F.col("r.__slice") == F.col("b.__slice"))
+    joined = rows.alias("r").join(before.alias("b"), same).select("r.*", "b.__before")
     new = F.coalesce("__before", F.lit(0)) + F.col("__run")
     first = F.col("__before").isNull() & (F.col("__at") == 1)
     return joined.select(*df.columns, F.when(~first, new - F.col("__v")).alias(f"old_{name}"), new.alias(f"new_{name}"))

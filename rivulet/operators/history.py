@@ -32,43 +32,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rivulet.functions.spellings import catalogue, with_type
+from rivulet.operators.slices import Slices, slices_of
 from rivulet.operators.wide import statements
-from rivulet.shared import shuffle_partitions, staged
+from rivulet.shared import staged
 
 KEY = ("c1", "attr_id")
 Catalogue = list[tuple[int, str, str]]
 
 
-class Slices:
-    """The entities with more than one in ``number`` rows, and the moments that cut each into slices of about that size."""
-
-    def __init__(self, rows: DataFrame, number: int):
-        keyed = rows.where("c1 is not null and c0 is not null").select("c1", "c0")
-        counts = keyed.groupBy("c1").agg(F.count(F.lit(1)).alias("n"))
-        total = rows.count()
-        self.rows = max(1, -(-total // number))
-        hot = counts.where(F.col("n") > self.rows).select(F.col("c1").alias("__c1"), F.ceil(F.log2(F.col("n") / self.rows)).cast("int").alias("__level"))
-        found = hot.collect()  # fewer than ``number``
-        self.cuts = None
-        if found:
-            spark = rows.sparkSession
-            hot = F.broadcast(spark.createDataFrame([tuple(r) for r in found], "__c1 bigint, __level int"))
-            # a percentile_approx has the same shares for all groups: one for each power of two, of which an entity fills one
-            at = lambda k: F.percentile_approx(F.when(F.col("__level") == k, F.col("c0")), [i / 2**k for i in range(1, 2**k)], 10 * 2**k)
-            cuts = keyed.join(hot, F.col("c1") == F.col("__c1")).groupBy("__c1").agg(F.coalesce(*[at(k) for k in sorted({r[1] for r in found})]).alias("__cuts"))
-            self.cuts = F.broadcast(cuts.select("__c1", F.array_distinct("__cuts").alias("__cuts")))
-            self.steps = [2**k for k in range(max(r[1] for r in found), -1, -1)]
-
-    def added(self, df: DataFrame) -> DataFrame:
-        """With ``slice``: the number of cuts of the entity before c0 (by binary search), 0 for all others."""
-        if self.cuts is None:
-            return df.withColumn("slice", F.lit(0))
-        cuts = F.col("__cuts")
-        further = lambda at, step: F.when((at + step <= F.size(cuts)) & (F.try_element_at(cuts, at + step) < F.col("c0")), at + step).otherwise(at)
-        place = F.aggregate(F.array(*[F.lit(s) for s in self.steps]), F.lit(0), further)
-        return df.join(self.cuts, F.col("c1") == F.col("__c1"), "left").withColumn("slice", F.when(cuts.isNotNull(), place).otherwise(0)).drop("__c1", "__cuts")
-
-
 def _salts(rows: DataFrame, attributes: Catalogue, rows_each: int) -> Column:
     """As many salts for each attribute as its rows fill tasks."""
     counted = with_type(rows.groupBy("c2").count(), F.col("c2"), attributes).where("attr_id is not null").groupBy("attr_id").agg(F.sum("count"))
@@ -78,7 +49,7 @@ def _salts(rows: DataFrame, attributes: Catalogue, rows_each: int) -> Column:
 
 def _candidates(rows: DataFrame, attributes: Catalogue, slices: int | None) -> tuple[DataFrame, bool]:
     """Satellite rows, and ``opens`` for the first of each slice, which may repeat the state before; whether there are slices."""
-    cut = Slices(rows, slices or 8 * shuffle_partitions(rows.sparkSession))
+    cut = Slices(rows, slices or slices_of(rows.sparkSession))
     stated = cut.added(statements(rows, attributes).where("attr_id is not null")).withColumn("__salt", F.pmod(F.xxhash64("c1", "slice"), _salts(rows, attributes, cut.rows)))
     group = W.partitionBy("attr_id", "__salt", "c1", "slice").orderBy("c0", "arrival")
     last = (

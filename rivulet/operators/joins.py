@@ -6,8 +6,12 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rivulet.operators.slices import copied, place_among, salted, salts_of
+from rivulet.shared import shuffle_partitions
+
 
 def equi_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str] | None = None, keep_right: bool = False, residual: Column | None = None) -> DataFrame:
     """On equal key columns; the right key columns are left out unless keep_right."""
@@ -19,18 +23,10 @@ def equi_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right
     return out if keep_right else out.drop(*[right[b] for b in right_keys])
 
 
-def skewed_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, salt: int = 16, share: int = 100) -> DataFrame:
-    """An equi join whose left side has keys with more than 1/share of its rows: those are spread over ``salt`` tasks each, and only their right rows are repeated.
-
-    There are at most ``share`` such keys, whatever the data; all others are joined as they are.
-    """
-    total = left.count()
-    hot = [r[0] for r in left.where(left[left_key].isNotNull()).groupBy(left_key).count().where(F.col("count") * share > total).select(left_key).collect()]
-    if not hot:
-        return left.join(right, left[left_key] == right[right_key])
-    l = left.withColumn("__s", F.when(F.col(left_key).isin(hot), F.pmod(F.xxhash64(*left.columns), F.lit(salt))).otherwise(F.lit(0).cast("bigint")))
-    copies = F.when(F.col(right_key).isin(hot), F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
-    r = right.withColumn("__rs", F.explode(copies))
+def skewed_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, slices: int | None = None) -> DataFrame:
+    """An equi join whose left side has keys with more than one in ``slices`` of its rows (by default eight for each shuffle partition): each is spread over as many tasks as it fills slices, and only its right rows are repeated."""
+    salts = salts_of(left, left[left_key], slices)
+    l, r = salted(left, F.col(left_key), salts, "__s"), copied(right, F.col(right_key), salts, "__rs")
     return l.join(r, (l[left_key] == r[right_key]) & (F.col("__s") == F.col("__rs"))).drop("__s", "__rs")
 
 
@@ -49,24 +45,72 @@ def cross_join(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.crossJoin(right)
 
 
-def band_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, d, closed: bool = True, on: Sequence[tuple[str, str]] = (), salt: int = 1) -> DataFrame:
+def band_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, d, closed: bool = True, on: Sequence[tuple[str, str]] = (), slices: int | None = None) -> DataFrame:
     """Pairs with |left_key - right_key| <= d (< d if not closed) of numbers, and equal further columns ``on``.
 
     A left row falls in one bucket of width d, a right row goes to three, and
     buckets are joined by hash; each pair meets once, no nested loop is run.
-    salt: rows of a bucket are spread over so many tasks, for dense keys.
+    A bucket with more than one in ``slices`` left rows (by default eight for
+    each shuffle partition) is spread over as many tasks as it fills slices.
     """
     if d == 0:
         return left.join(right, reduce(lambda a, b: a & b, [left[a] == right[b] for a, b in on], left_key == right_key)) if closed else left.join(right, F.lit(False))
-    l = left.withColumn("__lk", left_key).withColumn("__b", F.floor(F.col("__lk") / d)).withColumn("__s", F.pmod(F.xxhash64(*left.columns), F.lit(salt)) if salt > 1 else F.lit(0).cast("bigint"))
+    l = left.withColumn("__lk", left_key).withColumn("__b", F.floor(F.col("__lk") / d))
     r = right.withColumn("__rk", right_key).withColumn("__rb", F.floor(F.col("__rk") / d))
     r = r.withColumn("__rb", F.explode(F.array(F.col("__rb") - 1, F.col("__rb"), F.col("__rb") + 1)))
-    r = r.withColumn("__rs", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1).cast("bigint"))) if salt > 1 else F.lit(0).cast("bigint"))
+    at = lambda bucket, names: F.xxhash64(bucket, *names)  # noqa: E731 - one bucket of one value of the further columns
+    salts = salts_of(l, at(F.col("__b"), [left[a] for a, _ in on]), slices)
+    l = salted(l, at(F.col("__b"), [F.col(a) for a, _ in on]), salts, "__s")
+    r = copied(r, at(F.col("__rb"), [F.col(b) for _, b in on]), salts, "__rs")
     same = reduce(lambda a, b: a & b, [l[a] == r[b] for a, b in on], (F.col("__b") == F.col("__rb")) & (F.col("__s") == F.col("__rs")))
     gap = F.abs(F.col("__lk") - F.col("__rk"))
     return l.join(r, same & (gap <= d if closed else gap < d)).drop("__lk", "__b", "__s", "__rk", "__rb", "__rs")
 
 
+def _ranges(left: Column, right: Column, l: DataFrame, r: DataFrame) -> tuple[Column, list[int]]:
+    """Cuts that part the values of both sides into ranges of about equal numbers of rows, one for each shuffle partition, and the steps to search them."""
+    n = shuffle_partitions(l.sparkSession)
+    both = l.select(left.alias("v")).unionAll(r.select(right.alias("v")))
+    cuts = sorted(set(both.agg(F.percentile_approx("v", [k / n for k in range(1, n)], 10 * n)).first()[0] or [])) if n > 1 else []
+    return F.array(*[F.lit(c) for c in cuts]), [2**k for k in range(max(len(cuts), 1).bit_length() - 1, -1, -1)]
+
+
+def inequality_join(left: DataFrame, right: DataFrame, left_key: Column, op: str, right_key: Column) -> DataFrame:
+    """Pairs with left_key < right_key (or <=, >, >=) and nothing else to join on, without a nested loop over all.
+
+    Values are parted into ranges. A right row goes to its own range and to
+    those whose left rows all or in part match it, and ranges are joined by
+    hash: only pairs within one range are compared in vain.
+    """
+    ups = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+    cuts, steps = _ranges(left_key, right_key, left, right)
+    l = left.withColumn("__lk", left_key).where("__lk is not null")
+    r = right.withColumn("__rk", right_key).where("__rk is not null")
+    l = l.withColumn("__b", place_among(cuts, F.col("__lk"), steps, below=True))
+    own = place_among(cuts, F.col("__rk"), steps, below=True)
+    r = r.withColumn("__rb", F.explode(F.sequence(F.lit(0), own) if op[0] == "<" else F.sequence(own, F.size(cuts))))
+    return l.join(r, (F.col("__b") == F.col("__rb")) & ups[op](F.col("__lk"), F.col("__rk"))).drop("__lk", "__b", "__rk", "__rb")
+
+
+def inequality_count(left: DataFrame, right: DataFrame, left_key: Column, op: str, right_key: Column, name: str = "n") -> DataFrame:
+    """The left rows with the number of right rows for which left_key op right_key (<, <=, >, >=), 0 too; a null key counts none.
+
+    No pair is made: the right values are reduced to counts, parted into
+    ranges, and summed within a range and over the ranges before.
+    """
+    cuts, steps = _ranges(left_key, right_key, left, right)
+    values = right.select(right_key.alias("__v")).where("__v is not null").groupBy("__v").agg(F.count(F.lit(1)).alias("__n"))
+    asked = left.select(left_key.alias("__v")).where("__v is not null").distinct().withColumn("__n", F.lit(0).cast("bigint"))
+    marked = values.unionAll(asked).groupBy("__v").agg(F.sum("__n").alias("__n")).withColumn("__r", place_among(cuts, F.col("__v"), steps, below=True))
+    sums = marked.groupBy("__r").agg(F.sum("__n").alias("__s"))  # a row for each range
+    over = W.orderBy("__r").rowsBetween(W.unboundedPreceding, -1)
+    before = F.broadcast(sums.select("__r", F.coalesce(F.sum("__s").over(over), F.lit(0)).alias("__before"), F.sum("__s").over(W.partitionBy()).alias("__all")))
+    upto = F.sum("__n").over(W.partitionBy("__r").orderBy("__v").rowsBetween(W.unboundedPreceding, 0))
+    ranked = marked.withColumn("__upto", upto).join(before, "__r").withColumn("__upto", F.col("__upto") + F.col("__before"))
+    n = {"<": F.col("__all") - F.col("__upto"), "<=": F.col("__all") - F.col("__upto") + F.col("__n"), ">": F.col("__upto") - F.col("__n"), ">=": F.col("__upto")}[op]
+    return left.withColumn("__k", left_key).join(ranked.select(F.col("__v"), n.alias(name)), F.col("__k") == F.col("__v"), "left").withColumn(name, F.coalesce(name, F.lit(0))).drop("__k", "__v")
+
+
 def days(d: Column) -> Column:
     """A date as a number, for bands in days."""
     return F.unix_date(d.cast("date"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import islice
 
 from pyspark.sql import DataFrame
 
@@ -29,11 +30,11 @@ def store(view: str) -> Operator:
     return run
 
 
-def publish(send: Callable[[Iterable], None]) -> Operator:
-    """Rows to an outside channel: ``send`` gets an iterator over the rows of each partition, where they are."""
+def publish(send: Callable[[Iterable], None], every: int = 1) -> Operator:
+    """Rows to an outside channel: ``send`` gets an iterator over the rows of each partition, where they are; with ``every``, over the first of each so many."""
 
     def run(df: DataFrame) -> DataFrame:
-        df.foreachPartition(send)
+        df.foreachPartition(lambda rows: send(islice(rows, 0, None, every)))
         return df
 
     return run

@@ -269,7 +269,13 @@ def join_equi_residual(spark, d):
 @query("select s_suppkey, count(*)::bigint as n from supplier join part on s_acctbal < p_retailprice group by s_suppkey")
 def join_theta_ineq(spark, d):
     s, p = table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), table(spark, d, "part").select("p_retailprice")
-    return A.group(["s_suppkey"], A.count())(J.theta_join(s, p, C("s_acctbal") < C("p_retailprice")))
+    return J.inequality_count(s, p, C("s_acctbal"), "<", C("p_retailprice")).where("n > 0").select("s_suppkey", "n")
+
+
+@query("select s_suppkey, c_custkey from supplier join customer on s_acctbal > c_acctbal")
+def join_inequality_pairs(spark, d):
+    s, c = table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    return J.inequality_join(s, c, C("s_acctbal"), ">", C("c_acctbal")).select("s_suppkey", "c_custkey")
 
 
 @query("select count(*)::bigint as n, round(sum(l_extendedprice), 2) as total from orders join lineitem on o_orderkey = l_orderkey and 10 * l_extendedprice < o_totalprice having count(*) > 0")
@@ -292,7 +298,7 @@ def join_band_keyed(spark, d):
 
 @query("select count(*)::bigint as n, sum(s_suppkey * c_custkey)::bigint as checksum from supplier join customer on abs(s_nationkey - c_nationkey) <= 1 having count(*) > 0")
 def join_band_int(spark, d):
-    j = J.band_join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), table(spark, d, "customer").select("c_custkey", "c_nationkey"), C("s_nationkey"), C("c_nationkey"), 1, salt=4)
+    j = J.band_join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), table(spark, d, "customer").select("c_custkey", "c_nationkey"), C("s_nationkey"), C("c_nationkey"), 1)
     return A.group([], A.count(), F.sum(C("s_suppkey") * C("c_custkey")).alias("checksum"))(j)
 
 
@@ -364,6 +370,33 @@ def join_skewed_keys(spark, d):
     return A.group(["o_custkey"], A.count(), F.sum("linenumber").alias("lines"))(J.skewed_join(l, o, "orderkey", "k"))
 
 
+@query("select count(*)::bigint as n, sum(l.linenumber * o.shippriority + o.orderkey)::bigint as checksum from (select orderkey, linenumber from tpch_lineitems) l join (select orderkey, shippriority from tpch_orders) o on l.orderkey between o.orderkey - 1 and o.orderkey + 1 having count(*) > 0")
+def join_band_skewed(spark, d):
+    """A band on a key of which one value holds a tenth of the rows."""
+    l, o = table(spark, d, "tpch_lineitems").select("orderkey", "linenumber"), table(spark, d, "tpch_orders").select(C("orderkey").alias("k"), "shippriority")
+    return A.group([], A.count(), F.sum(C("linenumber") * C("shippriority") + C("k")).alias("checksum"))(J.band_join(l, o, C("orderkey"), C("k"), 1))
+
+
+@query("select p_name, count(*)::bigint as n from part join (select distinct l_partkey as a, l_suppkey as b from lineitem) x on p_partkey = x.a join (select distinct l_partkey as a, l_suppkey as b from lineitem) y on x.b = y.a group by 1")
+def url_reachability(spark, d):
+    """Paths of two arcs by the name that an index gives to their start."""
+    e = table(spark, d, "lineitem").select(C("l_partkey").alias("a"), C("l_suppkey").alias("b")).distinct()
+    # the second hop is only counted, so it comes as a count by its start
+    hop = A.group(["a"], A.count())(e)
+    j = J.nway_join({"x": e, "y": hop, "i": table(spark, d, "part").select("p_partkey", "p_name")}, [({"x", "y"}, C("x.b") == C("y.a")), ({"x", "i"}, C("x.a") == C("i.p_partkey"))])
+    return A.group({"p_name": C("i_p_name")}, F.sum("y_n").alias("n"))(j)
+
+
+@query("select m.c1 as machine, count(*)::bigint as n from machine_attributes m join attribute_types t on m.c2 = t.attr_name join (select c1, max(c0) as last from machine_attributes where c4 = 1 group by c1) f on m.c1 = f.c1 where m.c3 <> '' and m.c0 <= f.last group by 1")
+def most_failed_machine(spark, d):
+    """Statements before the last deletion of each machine, by a join of three relations."""
+    m = table(spark, d, "machine_attributes")
+    log = R.select(C("c3") != "")(m).select("c0", "c1", "c2")
+    failed = A.group(["c1"], F.max("c0").alias("last"))(R.select(C("c4") == 1)(m))
+    j = J.nway_join({"m": log, "t": table(spark, d, "attribute_types").select("attr_name"), "f": failed}, [({"m", "t"}, C("m.c2") == C("t.attr_name")), ({"m", "f"}, (C("m.c1") == C("f.c1")) & (C("m.c0") <= C("f.last")))])
+    return A.group({"machine": C("m_c1")}, A.count())(j)
+
+
 EDGES = "select distinct l_partkey % 97 as a, (l_suppkey * 7 + l_linenumber) % 97 as b from lineitem where l_quantity > 48"
 
 
@@ -517,6 +550,27 @@ def q19_like(spark, d):
     return A.group([], F.round(F.sum(_revenue()), 2).alias("revenue"), A.count())(j)
 
 
+@query("select o_orderkey, o_orderdate::date as o_orderdate, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from customer join orders on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey where c_mktsegment = 'BUILDING' and o_orderdate < date '1998-03-15' and l_shipdate > date '1998-03-15' group by 1, 2")
+def nway_q3(spark, d):
+    j = J.nway_join(
+        {"c": table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey"), "o": table(spark, d, "orders").where("o_orderdate < timestamp_ntz'1998-03-15'").select("o_orderkey", "o_custkey", "o_orderdate"), "l": _col_line(spark, d).where("l_shipdate > timestamp_ntz'1998-03-15'").select("l_orderkey", "l_extendedprice", "l_discount")},
+        [({"c", "o"}, C("c.c_custkey") == C("o.o_custkey")), ({"o", "l"}, C("o.o_orderkey") == C("l.l_orderkey"))],
+    )
+    return A.group({"o_orderkey": C("o_o_orderkey"), "o_orderdate": _date("o_o_orderdate")}, F.round(F.sum(C("l_l_extendedprice") * (1 - C("l_l_discount"))), 2).alias("revenue"))(j)
+
+
+@query(f"select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue {Q5}")
+def nway_q5(spark, d):
+    j = J.nway_join(
+        {
+            "r": table(spark, d, "region").where("r_name = 'ASIA'").select("r_regionkey"), "n": table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), "s": table(spark, d, "supplier").select("s_suppkey", "s_nationkey"),
+            "l": _col_line(spark, d).select("l_orderkey", "l_suppkey", "l_extendedprice", "l_discount"), "o": table(spark, d, "orders").where("o_orderdate >= timestamp_ntz'1997-01-01' and o_orderdate < timestamp_ntz'1998-01-01'").select("o_orderkey", "o_custkey"), "c": table(spark, d, "customer").select("c_custkey", "c_nationkey"),
+        },
+        [({"r", "n"}, C("r.r_regionkey") == C("n.n_regionkey")), ({"n", "s"}, C("n.n_nationkey") == C("s.s_nationkey")), ({"s", "l"}, C("s.s_suppkey") == C("l.l_suppkey")), ({"l", "o"}, C("l.l_orderkey") == C("o.o_orderkey")), ({"o", "c"}, C("o.o_custkey") == C("c.c_custkey")), ({"s", "c"}, C("s.s_nationkey") == C("c.c_nationkey"))],
+    )
+    return A.group({"n_name": C("n_n_name")}, F.round(F.sum(C("l_l_extendedprice") * (1 - C("l_l_discount"))), 2).alias("revenue"))(j)
+
+
 # windows over events
 
 BEGIN = 1704067200  # 2024-01-01 UTC
@@ -595,6 +649,23 @@ def retraction_stream(spark, d):
     return A.retractions(e, ["event_type"], "ts", F.round(C("value") * 100).cast("bigint"), tie="event_id")
 
 
+@query("select event_type, event_id, (sum(round(value * 100)::bigint) over (partition by event_type order by ts, event_id))::bigint as new_total, (sum(round(value * 100)::bigint) over (partition by event_type order by ts, event_id rows between unbounded preceding and 1 preceding))::bigint as old_total from events where value is not null")
+def running_totals(spark, d):
+    e = table(spark, d, "events").where("value is not null").select("event_type", "event_id", "ts", "value")
+    return A.running(e, ["event_type"], "ts", F.round(C("value") * 100).cast("bigint"), tie="event_id").select("event_type", "event_id", "new_total", "old_total")
+
+
+@query("select true as near, true as part_of, 600::bigint as asked from events limit 1")
+def sample_rate(spark, d):
+    """A sample of three tenths has about as many rows, all of the table; buckets ask for a hundred rows each."""
+    e = table(spark, d, "events").select("event_id")
+    total = e.count()
+    n, known = R.sample(0.3, 7)(e).join(e.select(C("event_id").alias("k")), C("event_id") == C("k"), "left").agg(F.count("event_id"), F.count("k")).first()
+    six = R.sample_for_buckets(total, 6)(e).count()
+    off = lambda got, share: abs(got - total * share) <= 6 * (total * share * (1 - share)) ** 0.5
+    return spark.range(1).select(F.lit(off(n, 0.3) and off(six, min(1.0, 600 / total))).alias("near"), F.lit(n == known).alias("part_of"), F.lit(600).cast("bigint").alias("asked"))
+
+
 @query("select user_id, count(*)::bigint as n from events group by 1 having count(*) >= 70")
 def heavy_hitters(spark, d):
     return A.heavy_hitters(table(spark, d, "events"), "user_id", 70)
@@ -615,6 +686,43 @@ def sql_compat(spark, d):
     return sql.run(spark, "SELECT EXTRACT_YEAR(o_orderdate) AS y, SUM(o_totalprice / 1000) AS k FROM orders INNER JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment LIKE '%BUILD%' GROUP BY o_orderdate ORDER BY y LIMIT 3", compat=True)
 
 
+@query("select o_orderpriority, l_returnflag, count(o_orderpriority)::bigint as n from orders join lineitem on o_orderkey = l_orderkey where (o_orderpriority = '1-URGENT' or o_orderpriority = '2-HIGH' or o_orderpriority = '3-MEDIUM' or o_orderpriority = '5-LOW') and (l_returnflag = 'R' or l_returnflag = 'A') and l_shipdate >= date '1997-01-01' and l_shipdate < date '1998-10-01' and o_orderdate < l_shipdate group by 1, 2")
+def sql_tpch12(spark, d):
+    _sources(spark, d).views("orders", "lineitem")
+    return sql.run(spark, "SELECT O_ORDERPRIORITY AS o_orderpriority, L_RETURNFLAG AS l_returnflag, COUNT(ORDERS.O_ORDERPRIORITY) AS n FROM ORDERS inner join LINEITEM on ORDERS.O_ORDERKEY = LINEITEM.L_ORDERKEY WHERE (O_ORDERPRIORITY = '1-URGENT' OR O_ORDERPRIORITY = '2-HIGH' or O_ORDERPRIORITY = '3-MEDIUM' or O_ORDERPRIORITY = '5-LOW') AND (L_RETURNFLAG = 'R' OR L_RETURNFLAG = 'A') AND L_SHIPDATE >= {d '1997-01-01'} AND L_SHIPDATE < {d '1998-10-01'} AND O_ORDERDATE < L_SHIPDATE GROUP BY L_RETURNFLAG", compat=True)
+
+
+@query("select round(sum(p_size * (1.0 - l_discount)), 2) as total from lineitem join part on l_partkey = p_partkey where p_type = 'ECONOMY' or p_type = 'PROMO' or p_brand = 'Brand#12' or p_size = 7 having count(*) > 0")
+def sql_tpch19(spark, d):
+    _sources(spark, d).views("lineitem", "part")
+    return sql.run(spark, "SELECT ROUND(SUM(PART.P_SIZE * (1.0e0 - LINEITEM.L_DISCOUNT)), 2) AS total FROM LINEITEM INNER JOIN PART ON LINEITEM.L_PARTKEY = PART.P_PARTKEY WHERE (PART.P_TYPE = 'ECONOMY') OR (PART.P_TYPE = 'PROMO') OR (PART.P_BRAND = 'Brand#12') OR (PART.P_SIZE = 7)", compat=True)
+
+
+@query("select c_mktsegment, count(distinct o_custkey)::bigint as n from customer join orders on c_custkey = o_custkey group by 1")
+def sql_distinct(spark, d):
+    _sources(spark, d).views("customer", "orders")
+    return sql.run(spark, "SELECT c_mktsegment, COUNT(DISTINCT o_custkey) AS n FROM customer JOIN orders ON c_custkey = o_custkey", compat=True)
+
+
+@query("select a.n_name as one, count(*)::bigint as n from nation a join nation b on a.n_regionkey = b.n_regionkey group by 1")
+def sql_self_join(spark, d):
+    _sources(spark, d).views("nation")
+    return sql.run(spark, "SELECT A.n_name AS one, COUNT(*) AS n FROM nation A INNER JOIN nation B ON A.n_regionkey = B.n_regionkey", compat=True)
+
+
+@query("select o_orderkey, trunc(o_orderkey * 3 / 2.0)::int + 1 as k, trunc(o_custkey / 7.0)::int * 2 - o_orderkey as j from orders where o_orderkey > 150.0")
+def sql_precedence(spark, d):
+    _sources(spark, d).views("orders")
+    return sql.run(spark, "SELECT o_orderkey, o_orderkey * 3 / 2 + 1 AS k, o_custkey / 7 * 2 - o_orderkey AS j FROM orders WHERE o_orderkey > 1.5e2", compat=True)
+
+
+@query("select c_custkey, c_name || '/' || c_mktsegment as label from customer order by 1 limit 40")
+def sql_default_clauses(spark, d):
+    """The default mode keeps what the dialect leaves out."""
+    _sources(spark, d).views("customer")
+    return sql.run(spark, "SELECT c_custkey, c_name || '/' || c_mktsegment AS label FROM customer ORDER BY c_custkey LIMIT 40")
+
+
 @query(SEGMENT_COUNT)
 def fn_hyracks(spark, d):
     src = _sources(spark, d)
@@ -643,6 +751,28 @@ def fn_flat_map(spark, d):
     return s.group_by_key(lambda t: 1, lambda t: {"kind": t.kind}).to_df("n")
 
 
+@query("select word, count(*)::bigint as n from (select unnest(string_split(p_name, ' ')) as word from part where p_size > 10) group by 1")
+def fn_flat_map_words(spark, d):
+    s = Stream.source(_sources(spark, d), "part").filter(lambda t: t.p_size > 10).flat_map(lambda t: F.split(t.p_name, " "), "word")
+    return s.group_by_key(lambda t: 1, lambda t: {"word": t.word}).to_df("n")
+
+
+@query(
+    "with j as (select l_shipdate, n_name, l_extendedprice * (1 - l_discount) as v from lineitem join orders on l_orderkey = o_orderkey and abs(date_diff('day', o_orderdate, l_shipdate)) <= 20 join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey), "
+    "w as (select n_name, v, epoch(l_shipdate) as e, unnest([floor(epoch(l_shipdate) / 432000) * 432000 - 432000 * k for k in range(4)]) as s from j) "
+    "select to_timestamp(s)::timestamp as window_start, to_timestamp(s + 1728000)::timestamp as window_end, n_name, round(sum(v), 2) as revenue from w where s <= e and e < s + 1728000 group by 1, 2, 3"
+)
+def fn_q7_sliding(spark, d):
+    """Line items shipped within 20 days of their order, in windows of 20 days every 5, by the supplier's nation."""
+    src = _sources(spark, d)
+    l = Stream.source(src, "lineitem").map(lambda t: {c: t[c] for c in ("l_orderkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_discount")})
+    o = Stream.source(src, "orders").map(lambda t: {"o_orderkey": t.o_orderkey, "o_orderdate": t.o_orderdate})
+    s = Stream.source(src, "supplier").join(Stream.source(src, "nation"), lambda t: t.s_nationkey, lambda t: t.n_nationkey).map(lambda t: {"s_suppkey": t.s_suppkey, "n_name": t.n_name})
+    near = l.on_sliding_window(o, "l_shipdate", "o_orderdate", 20 * 86400, on=[("l_orderkey", "o_orderkey")]).join(s, lambda t: t.l_suppkey, lambda t: t.s_suppkey)
+    out = near.group_by_key(lambda t: t.l_extendedprice * (1 - t.l_discount), lambda t: {"n_name": t.n_name}).on_window("l_shipdate", 20 * 86400, 5 * 86400).to_df("revenue")
+    return _flat(out.withColumn("revenue", F.round("revenue", 2)))
+
+
 @query(SLIDING)
 def fn_sliding_window(spark, d):
     v, c = _views_clicks(spark, d)
@@ -715,3 +845,14 @@ def stream_sliding_join(spark, d):
 @query("select distinct user_id from events")
 def stream_distinct(spark, d):
     return streaming.finished(streaming.events_stream(spark, f"{d}/events.parquet", "ts", late=None).select("user_id").dropDuplicates(["user_id"]))
+
+
+@query("select a.event_id as v, b.event_id as c from events a join events b on a.user_id = b.user_id where a.event_type = 'view' and b.event_type = 'click'")
+def stream_full_history_join(spark, d):
+    """Every pair of the whole history: a stream-stream join without watermark, whose state grows with the streams."""
+
+    def side(kind, names):
+        e = streaming.events_stream(spark, f"{d}/events.parquet", "ts", late=None).where(C("event_type") == kind)
+        return e.select(*[C(a).alias(b) for a, b in names.items()])
+
+    return streaming.finished(side("view", {"event_id": "v", "user_id": "u"}).join(side("click", {"event_id": "c", "user_id": "w"}), C("u") == C("w"))).select("v", "c")

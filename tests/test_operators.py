@@ -35,20 +35,38 @@ def two(spark):
 @pytest.mark.parametrize("d, closed, salt", [(2, True, 1), (2, False, 1), (1.5, True, 3), (0, True, 1), (0, False, 1), (7, True, 5)])
 def test_band_join_equals_brute_force(two, d, closed, salt):
     l, r, dl, dr = two
-    got = J.band_join(dl, dr, F.col("x"), F.col("y"), d, closed=closed, salt=salt)
+    got = J.band_join(dl, dr, F.col("x"), F.col("y"), d, closed=closed, slices=salt)
     near = lambda x, y: x is not None and y is not None and (abs(x - y) <= d if closed else abs(x - y) < d)
     assert sorted((t.a, t.b) for t in got.collect()) == sorted((a, b) for a, x in l for b, y in r if near(x, y))
     if d:
         assert "NestedLoop" not in plan_of(got) and "Cartesian" not in plan_of(got)
 
 
+@pytest.mark.parametrize("op", ["<", "<=", ">", ">="])
+def test_inequality_joins_equal_brute_force(spark, op):
+    rng = random.Random(5)
+    l = [(k, rng.choice([None, rng.randrange(40), 7])) for k in range(150)]
+    r = [(k, rng.choice([None, rng.randrange(40), 7])) for k in range(80)]
+    dl, dr = spark.createDataFrame(l, "a int, x int"), spark.createDataFrame(r, "b int, y int")
+    ok = {"<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}[op]
+    want = sorted((a, b) for a, x in l for b, y in r if None not in (x, y) and ok(x, y))
+    got = J.inequality_join(dl, dr, F.col("x"), op, F.col("y"))
+    assert sorted((t.a, t.b) for t in got.collect()) == want
+    counts = J.inequality_count(dl, dr, F.col("x"), op, F.col("y"))
+    assert {t.a: t.n for t in counts.collect()} == {a: sum(p == a for p, _ in want) for a, _ in l}
+    assert "NestedLoop" not in plan_of(got) + plan_of(counts) and "Cartesian" not in plan_of(got) + plan_of(counts)
+    none = dr.where("false")
+    assert J.inequality_join(dl, none, F.col("x"), op, F.col("y")).count() == 0
+    assert {t.n for t in J.inequality_count(dl, none, F.col("x"), op, F.col("y")).collect()} == {0}
+
+
 def test_skewed_join_equals_plain_join(spark):
     rng = random.Random(3)
     l = spark.createDataFrame([(rng.choice([1, 1, 1, 2, None, rng.randrange(99)]), k) for k in range(300)], "k int, a int")
     r = spark.createDataFrame([(rng.choice([1, 2, 3, None]), k) for k in range(30)], "j int, b int")
     want = sorted(map(tuple, l.join(r, l.k == r.j).collect()))
     for share in (4, 100, 1):
-        assert sorted(map(tuple, J.skewed_join(l, r, "k", "j", salt=3, share=share).collect())) == want
+        assert sorted(map(tuple, J.skewed_join(l, r, "k", "j", slices=share).collect())) == want
     assert J.skewed_join(l.where("false"), r, "k", "j").count() == 0
 
 
@@ -146,13 +164,17 @@ def test_numbered_windows(spark):
         ("SELECT a FROM t WHERE d < {d '1995-01-01'}", False, "SELECT a\nFROM t\nWHERE d < DATE '1995-01-01'"),
         ("SELECT a FROM t WHERE s LIKE '%x%'", True, "SELECT a\nFROM t\nWHERE contains(s, 'x')"),
         ("SELECT f(a) / (b + 1) FROM t", True, "SELECT CAST(CAST(f ( a ) AS DOUBLE) / CAST(( b + 1 ) AS DOUBLE) AS INT)\nFROM t"),
+        ("SELECT a * b / c - -1.5e3 FROM t", True, "SELECT CAST(CAST(a * b AS DOUBLE) / CAST(c AS DOUBLE) AS INT) - - 1.5e3\nFROM t"),
+        ("SELECT DISTINCT TOP 3 a FROM t LEFT OUTER JOIN u ON t.a = u.b AND t.c = u.d, v", True, "SELECT a\nFROM t JOIN u ON t.a = u.b AND t.c = u.d , v"),
+        ("SELECT COUNT(DISTINCT a) AS n, b FROM t WHERE (a = 1 OR NOT b < .5) AND c >= {d '1995-01-01'}", True, "SELECT COUNT ( DISTINCT a ) AS n, b\nFROM t\nWHERE ( a = 1 OR NOT b < .5 ) AND c >= DATE '1995-01-01'\nGROUP BY b"),
+        ("SELECT a || 'x' FROM t WHERE b > 1.5e-3", False, "SELECT a || 'x'\nFROM t\nWHERE b > 1.5e-3"),
     ],
 )
 def test_sql_translation(text, compat, want):
     assert sql.translate(text, compat) == want
 
 
-@pytest.mark.parametrize("text", ["SELECT a FROM t WHERE a IN (1)", "SELECT a FROM t UNION SELECT a FROM u", "SELECT a FROM (SELECT a FROM t)", "SELECT a FROM t LEFT JOIN u ON a = b"])
+@pytest.mark.parametrize("text", ["SELECT a FROM t WHERE a IN (1)", "SELECT a FROM t UNION SELECT a FROM u", "SELECT a FROM (SELECT a FROM t)", "SELECT a FROM t JOIN u ON a < b", "SELECT a FROM t JOIN u ON a = b OR c = d", "SELECT a || b FROM t", "SELECT a + FROM t", "SELECT (a FROM t"])
 def test_sql_refusals(text):
     with pytest.raises(ValueError):
         sql.translate(text, compat=True)
