@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.llm import distinct, leaks, packing, percentiles, topn
@@ -108,14 +108,74 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentence_split.sentences(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_distinct_by_day, p2_distinct_merged, p5_found, p7_percentiles_by_day, p7_percentiles, p7_merged_loads, p8_pack_documents, p8_container_fill, p9_found, p9_passages, p9_removals, p10_found, p10_sentences)}
+# Checks that SQL can state: the operator's result against exact counts, or what must hold for it.
+
+
+def p2_within_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Exact counts by returnflag and linestatus, and whether the merged sketches' estimates lie within five standard errors."""
+    by = ["returnflag", "linestatus"]
+    estimates = distinct.estimates(distinct.merge(_line_sketches(spark, d), by), by).select(*[F.col(g).alias(f"e_{g}") for g in by], "metric", "estimate", "std_error")
+    orders = topn.latest(table(spark, d, "tpch_orders"), "orderkey", "custkey")
+    exact = table(spark, d, "tpch_lineitems").select("orderkey", *by).join(orders, "orderkey", "left").groupBy(*by).agg(F.count_distinct("orderkey").alias("orders"), F.count_distinct("custkey").alias("customers"))
+    counted = exact.select(*by, F.explode(F.create_map(F.lit("orders"), F.col("orders"), F.lit("customers"), F.col("customers"))).alias("m", "n")).where("n > 0")
+    same = (F.col("m") == F.col("metric")) & F.col("returnflag").eqNullSafe(F.col("e_returnflag")) & F.col("linestatus").eqNullSafe(F.col("e_linestatus"))
+    return counted.join(estimates, same, "left").select(*by, F.col("m").alias("metric"), "n", F.coalesce(F.abs(F.col("estimate") - F.col("n")) <= 5 * F.col("std_error"), F.lit(False)).alias("near"))
+
+
+def p8_texts_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document, whether its tokens are all there, no container it is in is overfull, and only a text longer than a container is split."""
+    packed = _packed(spark, d).withColumn("fill", F.sum("n_tokens").over(Window.partitionBy("container")))
+    placed = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("placed"), F.count("*").alias("pieces"), F.max("fill").alias("fill"), F.count_if(F.col("n_tokens") == CAPACITY).alias("full"))
+    sizes = table(spark, d, "documents").where("text is not null").select("doc_id", packing.token_count(F.col("text")).alias("size"))
+    held = lambda c: F.coalesce(c, F.lit(False))
+    return sizes.join(placed, "doc_id", "left").select(
+        "doc_id", held(F.col("placed") == F.col("size")).alias("complete"), held(F.col("fill") <= CAPACITY).alias("fits"), held((F.col("pieces") == 1) | (F.col("size") > CAPACITY) & (F.col("pieces") - F.col("full") <= 1)).alias("whole")
+    )
+
+
+def p9_verbatim(spark: SparkSession, d: str) -> DataFrame:
+    """The leaks found that have twelve words of an item as they are but for case and punctuation; SQL finds those by itself."""
+    docs, items = table(spark, d, "documents"), table(spark, d, "eval_items")
+
+    def runs(text: str):
+        words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{M}\p{N}]+)"))
+        return F.transform(F.sequence(F.lit(1), F.size(words) - 11), lambda i: F.array_join(F.slice(words, i, 12), " "))
+
+    enough = lambda text: F.size(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{M}\p{N}]+)"))) >= 12
+    found = leaks.leaks(docs, items).join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", "item_text"), "item_id").where(enough("text") & enough("item_text"))
+    return found.where(F.arrays_overlap(runs("text"), runs("item_text"))).select("doc_id", "item_id")
+
+
+def p10_covering(spark: SparkSession, d: str) -> DataFrame:
+    """Of each text: the characters in its units that aren't blanks (so none is left out), units that cross a line break, and units that overlap the one before."""
+    units = sentence_split.sentence_units(table(spark, d, "documents"), keep=("doc_id", "text"))
+    unit = F.substring("text", F.col("start_pos") + 1, F.col("end_pos") - F.col("start_pos"))
+    judged = units.select("doc_id", F.length(F.translate(unit, sentence_split.BLANKS, "")).alias("covered"), F.contains(unit, F.lit("\n")).alias("crosses"), (F.lag("end_pos").over(Window.partitionBy("doc_id").orderBy("start_pos")) > F.col("start_pos")).alias("overlaps"))
+    return judged.groupBy("doc_id").agg(F.sum("covered").cast("bigint").alias("covered"), F.count_if("crosses").alias("crossing"), F.count_if("overlaps").alias("overlapping"))
+
+
+QUERIES = {f.__name__: f for f in (p2_distinct_by_day, p2_distinct_merged, p5_found, p7_percentiles_by_day, p7_percentiles, p7_merged_loads, p8_pack_documents, p8_container_fill, p9_found, p9_passages, p9_removals, p10_found, p10_sentences, p2_within_bounds, p8_texts_whole, p9_verbatim, p10_covering)}
 
 _P7 = (
     "with v as (select GROUP, extendedprice + 0.0 as value, row_number() over (partition by GROUP order by extendedprice) as rn, count(*) over (partition by GROUP) as n "
     "from tpch_lineitems where extendedprice is not null), s as (select unnest([" + ", ".join(f"{p}::double" for p in SHARES) + "]) as share) "
     "select GROUP, share, value, n from v, s where rn = greatest(1, ceil(share * n))"
 )
+_BLANKS = "".join(f"' || chr({ord(c)}) || '" for c in sentence_split.BLANKS)
+_RUNS = "select ID, unnest([array_to_string(w[i:i + 11], ' ') for i in range(1, len(w) - 10)]) as run from (select ID, regexp_extract_all(lower(TEXT), '[\\p{L}\\p{M}\\p{N}]+') as w from TABLE where TEXT is not null)"
 ORACLE = {
+    "p2_within_bounds": """with o as (select orderkey, arg_max(coalesce(custkey, -1), loaded_at) as custkey from tpch_orders where orderkey is not null group by 1),
+  l as (select returnflag, linestatus, l.orderkey, nullif(custkey, -1) as custkey from tpch_lineitems l left join o on l.orderkey = o.orderkey),
+  n as (select returnflag, linestatus, count(distinct orderkey) as orders, count(distinct custkey) as customers from l group by 1, 2)
+select returnflag, linestatus, 'orders' as metric, orders::bigint as n, true as near from n where orders > 0
+union all select returnflag, linestatus, 'customers', customers::bigint, true from n where customers > 0""",
+    "p8_texts_whole": "select doc_id, true as complete, true as fits, true as whole from documents where text is not null",
+    "p9_verbatim": "select distinct doc_id, item_id from ("
+    + _RUNS.replace("ID", "doc_id").replace("TEXT", "text").replace("TABLE", "documents")
+    + ") d join ("
+    + _RUNS.replace("ID", "item_id").replace("TEXT", "item_text").replace("TABLE", "eval_items")
+    + ") i on d.run = i.run",
+    "p10_covering": f"select doc_id, length(translate(text, '{_BLANKS}', ''))::bigint as covered, 0::bigint as crossing, 0::bigint as overlapping from documents where length(translate(text, '{_BLANKS}', '')) > 0",
     "p5_found": r"""with c0 as (
   select custkey, nationkey, replace(replace(replace(replace(trim(acctbal), ' ', ''), 'USD', ''), '$', ''), ',', '') as a,
     row_number() over (partition by custkey order by loaded_at desc nulls last) as k from tpch_customer where custkey is not null
