@@ -152,11 +152,12 @@ def _quotations(text: Column) -> Column:
 def _where(t: Column, need: str | None, pattern: str, replacement: str) -> Column:
     if need is None:
         return F.regexp_replace(t, pattern, replacement)
-    return _let(t, lambda s: F.when(s.rlike(need), F.regexp_replace(s, pattern, replacement)).otherwise(s))
+    plain = re.fullmatch(r"[^\\\[\](){}.*+?|^$]+", need)  # looked for without a regular expression
+    return _let(t, lambda s: F.when(F.contains(s, F.lit(need)) if plain else s.rlike(need), F.regexp_replace(s, pattern, replacement)).otherwise(s))
 
 
 ENDS = (
-    rf"(?<!{MARK}){MARK}++(?:{CLOSE}++(?!{GOES_ON})"
+    rf"{MARK}(?<!{MARK}{MARK}){MARK}*+(?:{CLOSE}++(?!{GOES_ON})"
     rf"|(?!{CLOSE})(?![,;:،、，；：؛/@_\\&=%#~]|[-–]\p{{L}})"
     # after a full stop or an ellipsis the sentence may run on
     rf"(?:(?<=[!?\x{{e0f0}}\x{{e0f1}}。！？｡؟।॥۔‼⁇⁈⁉։።។။།])(?!(?<=[?\x{{e0f0}}\x{{e0f1}}])[\p{{Ll}}\p{{N}}])|(?<=[.…])(?!{GAP}*+\p{{Ll}}(?!\p{{Lu}}))(?!(?<=\.)[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}])))"
