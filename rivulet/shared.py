@@ -96,8 +96,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def partitions_for(df: DataFrame, bytes_each: int = 128 << 20) -> int:
-    """The session's number of shuffle partitions, more if the estimated size of ``df`` calls for it."""
+    """The session's number of shuffle partitions, more (up to Spark's limit of buckets) if the size of the files behind ``df`` calls for it."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # not known, as of rows that come from no file
+        size = 0
     return max(shuffle_partitions(df.sparkSession), min(100_000, -(-size // bytes_each)))
 
 
