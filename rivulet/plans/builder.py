@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -70,11 +70,28 @@ class Plan:
         return self.components[-1].to_df()
 
 
-class Context:
-    """A session with its sources and the queries that run in it."""
+def options(text: str) -> dict[str, str]:
+    """Lines of a key and a value; blank lines and those that begin with # are left out, a key given again counts as given last."""
+    pairs = (line.split(None, 1) for line in text.splitlines() if line.strip() and not line.lstrip().startswith("#"))
+    return {k: (rest[0].strip() if rest else "") for k, *rest in pairs}
+
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.sources = spark, Sources(spark)
+class Context:
+    """A session with its sources and the queries that run in it.
+
+    Of the options, DIP_DATA_PATH names a folder whose parquet tables become
+    sources, and the largest of those that end in _PAR is the number of shuffle
+    partitions. All others (placement, cardinalities, acknowledgements) are kept
+    to be asked for, but the optimizer has no need of them.
+    """
+
+    def __init__(self, spark: SparkSession, settings: Mapping[str, str] | None = None):
+        self.spark, self.sources, self.settings = spark, Sources(spark), dict(settings or {})
+        if path := self.settings.get("DIP_DATA_PATH"):
+            self.sources.register_parquet(path)
+        parallel = [int(v) for k, v in self.settings.items() if k.endswith("_PAR")]
+        if parallel:
+            spark.conf.set("spark.sql.shuffle.partitions", str(max(parallel)))
 
     def plan(self) -> Plan:
         return Plan(self.sources)

@@ -14,7 +14,7 @@ from rivulet.operators import joins as J
 from rivulet.operators import rows as R
 from rivulet.operators import sinks as K
 from rivulet.operators import windows as Win
-from rivulet.plans import sql
+from rivulet.plans import builder, sql
 from rivulet.plans.builder import Context
 from rivulet.plans.pipeline import Stream
 from rivulet.sources import Sources, delimited, parse_schema
@@ -255,3 +255,22 @@ def test_streams_equal_batch(spark, tmp_path):
     pairs = streaming.finished(streaming.interval_join(a, b, "t", "u", 60, [("x", "y")]))
     ba, bb = batch.where("k = 'a'").select(F.col("id").alias("a"), F.col("ts").alias("t")), batch.where("k = 'b'").select(F.col("id").alias("b"), F.col("ts").alias("u"))
     assert sorted((r.a, r.b) for r in pairs.collect()) == sorted((r.a, r.b) for r in J.sliding_join(ba, bb, "t", "u", 60).collect())
+
+
+def test_options(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "three.parquet"))
+    settings = builder.options(f"# a plan\n\nDIP_DATA_PATH {tmp_path}\nA_PAR 1\nA_PAR 3\nB_PAR 2\nDIP_ACK_EVERY\n")
+    assert settings == {"DIP_DATA_PATH": str(tmp_path), "A_PAR": "3", "B_PAR": "2", "DIP_ACK_EVERY": ""}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        context = builder.Context(spark, settings)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
+        assert context.plan().source("three").to_df().count() == 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_publish_every_so_many(spark):
+    sent = spark.sparkContext.accumulator(0)
+    K.publish(lambda rows: sent.add(sum(1 for _ in rows)), every=10)(spark.range(95).coalesce(1))
+    assert sent.value == 10
