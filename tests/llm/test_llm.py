@@ -431,15 +431,22 @@ def garble(text):
 
 @pytest.mark.parametrize("first, again", [("“Stop!” he said. ", "A cart left the dock. "), ("", "“Stop! Go!” he said. A cart left. "), ("", garble("“Größe!” he said. Über die Brücke. ")), ("", "“窗帘！”她喊道，后面。露台……狭窄的果园。"), ("", ".")])
 def test_sentences_take_time_in_proportion_to_the_line(spark, first, again):
+    pid = spark._jvm.java.lang.ProcessHandle.current().pid()
+
+    def cpu():  # of the JVM, so that other work on the machine doesn't count
+        with open(f"/proc/{pid}/stat") as f:
+            return sum(map(int, f.read().rpartition(")")[2].split()[11:13])) / os.sysconf("SC_CLK_TCK")
+
     def seconds(n):
         one = spark.createDataFrame([(1, (first + again * (n // len(again))) + "a")], "doc_id int, text string")
-        began = time.perf_counter()
+        began = cpu()
         S.sentences(one).agg(F.sum(F.length("sentence"))).collect()
-        return time.perf_counter() - began
+        return cpu() - began
 
+    seconds(600_000)  # compiled by then
     fixed = min(seconds(100) for _ in range(2))
     half, whole = (min(seconds(n) for _ in range(2)) - fixed for n in (300_000, 600_000))
-    assert whole <= 2.6 * max(half, 0.5)
+    assert whole <= 2.9 * max(half, 0.5) + 4, (fixed, half, whole)  # some seconds for the compiler and garbage; 4 times, and minutes, if it were quadratic
 
 
 def test_restored_sentences(spark):
