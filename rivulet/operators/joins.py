@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rivulet.operators.slices import copied, place_among, salted, salts_of
+from rivulet.operators.slices import copied, place_among, salted, salts_of, slices_of
 from rivulet.shared import shuffle_partitions
 
 
@@ -78,18 +78,38 @@ def _ranges(left: Column, right: Column, l: DataFrame, r: DataFrame) -> tuple[Co
 def inequality_join(left: DataFrame, right: DataFrame, left_key: Column, op: str, right_key: Column) -> DataFrame:
     """Pairs with left_key < right_key (or <=, >, >=) and nothing else to join on, without a nested loop over all.
 
-    Values are parted into ranges. A right row goes to its own range and to
-    those whose left rows all or in part match it, and ranges are joined by
-    hash: only pairs within one range are compared in vain.
+    Values are parted into ranges. A row of the side with more rows goes to its
+    own range, a row of the other to its own and to those whose rows all match
+    it, and ranges are joined by hash: only pairs within one range are compared
+    in vain. Ranges are cut into pieces of about equal numbers of pairs, as
+    few bytes can give many pairs; a piece has a million pairs or more.
     """
     ups = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
     cuts, steps = _ranges(left_key, right_key, left, right)
-    l = left.withColumn("__lk", left_key).where("__lk is not null")
-    r = right.withColumn("__rk", right_key).where("__rk is not null")
-    l = l.withColumn("__b", place_among(cuts, F.col("__lk"), steps, below=True))
-    own = place_among(cuts, F.col("__rk"), steps, below=True)
-    r = r.withColumn("__rb", F.explode(F.sequence(F.lit(0), own) if op[0] == "<" else F.sequence(own, F.size(cuts))))
-    return l.join(r, (F.col("__b") == F.col("__rb")) & ups[op](F.col("__lk"), F.col("__rk"))).drop("__lk", "__b", "__rk", "__rb")
+    l = left.withColumn("__lk", left_key).where("__lk is not null").withColumn("__lb", place_among(cuts, F.col("__lk"), steps, below=True))
+    r = right.withColumn("__rk", right_key).where("__rk is not null").withColumn("__rb", place_among(cuts, F.col("__rk"), steps, below=True))
+    ln, rn = (dict(x.groupBy(b).count().collect()) for x, b in ((l, "__lb"), (r, "__rb")))  # a row for each range
+    spread_left = sum(ln.values()) >= sum(rn.values())
+    downward = (op[0] == "<") == spread_left  # the way a row of the other side goes from its own range
+    own, other = (ln, rn) if spread_left else (rn, ln)
+    ranges = range(max([*ln, *rn], default=0) + 1)
+    pairs = [own.get(b, 0) * sum(n for k, n in other.items() if (k >= b if downward else k <= b)) for b in ranges]
+    each = max(1_000_000, -(-sum(pairs) // slices_of(left.sparkSession)))
+    pieces = [max(1, -(-n // each)) for n in pairs]
+    first, number = F.array(*[F.lit(sum(pieces[:b])) for b in ranges]), F.array(*[F.lit(n) for n in pieces])
+
+    def spread(df: DataFrame, b: str, name: str) -> DataFrame:
+        hashed = F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind])
+        return df.withColumn(name, (F.get(first, b) + F.pmod(hashed, F.get(number, b))).cast("int"))
+
+    def repeated(df: DataFrame, b: str, name: str) -> DataFrame:
+        end = F.get(first, b) + F.get(number, b) - 1
+        return df.withColumn(name, F.explode(F.sequence(F.lit(0), end) if downward else F.sequence(F.get(first, b), F.lit(sum(pieces) - 1))))
+
+    l, r = (spread if spread_left else repeated)(l, "__lb", "__lp"), (repeated if spread_left else spread)(r, "__rb", "__rp")
+    # with a number of its own a shuffle keeps its tasks: adaptive execution would merge them by their bytes
+    l, r = l.repartition(sum(pieces), "__lp"), r.repartition(sum(pieces), "__rp")
+    return l.join(r, (F.col("__lp") == F.col("__rp")) & ups[op](F.col("__lk"), F.col("__rk"))).drop("__lk", "__lb", "__lp", "__rk", "__rb", "__rp")
 
 
 def inequality_count(left: DataFrame, right: DataFrame, left_key: Column, op: str, right_key: Column, name: str = "n") -> DataFrame:

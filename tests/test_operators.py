@@ -60,6 +60,18 @@ def test_inequality_joins_equal_brute_force(spark, op):
     assert {t.n for t in J.inequality_count(dl, none, F.col("x"), op, F.col("y")).collect()} == {0}
 
 
+@pytest.mark.parametrize("op, left, right", [(">", 3000, 5000), ("<=", 3000, 5000), (">=", 5000, 3000), ("<", 5000, 3000)])
+def test_inequality_join_spreads_its_pairs_over_tasks(spark, op, left, right):
+    l, r = spark.range(left).select((F.col("id") * 7 % 1000).alias("x"), F.lit(1).alias("a")), spark.range(right).select((F.col("id") * 3 % 1000).alias("y"), F.lit(2).alias("b"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for larger tables
+    try:
+        each = [n for _, n in J.inequality_join(l, r, F.col("x"), op, F.col("y")).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(each) == left * right * (1001 if "=" in op else 999) // 2000  # every number as often on each side
+    assert max(each) <= 0.4 * sum(each)
+
+
 def test_skewed_join_equals_plain_join(spark):
     rng = random.Random(3)
     l = spark.createDataFrame([(rng.choice([1, 1, 1, 2, None, rng.randrange(99)]), k) for k in range(300)], "k int, a int")
